@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import ann, jaccard, substring_dedup, topk, url_filters
+from . import ann, jaccard, mixing, packing, substring_dedup, topk, url_filters
 
-QUERIES = {f.__name__: f for f in (substring_dedup.op1_substring_dedup, url_filters.op2_url_filters, topk.op3_exact_topk, jaccard.op6_ngram_jaccard, ann.op10_ann)}
+QUERIES = {f.__name__: f for f in (substring_dedup.op1_substring_dedup, url_filters.op2_url_filters, topk.op3_exact_topk, jaccard.op6_ngram_jaccard, packing.op7_best_fit_packing, mixing.op8_mixing, ann.op10_ann)}
 
 ORACLE_SQL = {"op2_url_filters": url_filters.SQL, "op3_exact_topk": topk.SQL}
