@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -19,49 +20,68 @@ REMEMBERED = 300_000
 _loaded: dict[str, object] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """How a byte-level vocabulary writes bytes: printable ones as themselves, the others, in order, from U+0100."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordIds:
     """Ids of texts, word by word: the tokenizer treats what white space separates independently, so ids of a distinct
-    word are made once. New words are encoded together, parted by a special token that no word may hold."""
+    word are made once. Plain words - Latin letters, perhaps with ASCII marks behind - go straight to the
+    tokenizer's model as the lower-cased unit that its normalizer and splitter would make of them; all others go through
+    the whole tokenizer. Whether the shortcut holds for a vocabulary is tried at the start, and without it all do."""
 
-    PART = "<|endoftext|>"
+    PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=?@\[-`{}~]*)")
+    TRIAL = ("The", "o", "Wherever", "onthshin", "\u00c9t\u00e9", "\u00fcberpf\u00fc\u00df", "a\u00f1o", "qzxj")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.part = self.tokenizer.token_to_id(self.PART)
+        self.model = self.tokenizer.model
+        self.letter = _byte_letters()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.marks = {m: self._whole(m) for m in (".", ",", "%%%", "!!")} | {"": b""}
+        self.short = all(self._unit(w.lower()) + self.marks[m] == self._whole(w + m) for w in self.TRIAL for m in self.marks)
 
     def _whole(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        if self.part is None:
-            self.known.update((w, self._whole(w)) for w in words)
-            return
-        odd = [w for w in words if "<|" in w]
-        self.known.update((w, self._whole(w)) for w in odd)
-        plain = [w for w in words if "<|" not in w]
-        for i in range(0, len(plain), 2000):
-            batch = plain[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(self.PART.join(batch), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(ids == self.part).tolist()
-            if len(ends) != len(batch) - 1:
-                self.known.update((w, self._whole(w)) for w in batch)
-                continue
-            for w, a, b in zip(batch, [0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True):
-                self.known[w] = ids[a:b].tobytes()
+    def _unit(self, word: str) -> bytes:
+        if not word.isascii():
+            word = "".join(map(self.letter.__getitem__, word.encode()))
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)])
+
+    def _learned(self, word: str) -> bytes:
+        old = self.older.get(word)
+        if old is not None:
+            return old
+        plain = self.PLAIN.fullmatch(word) if self.short else None
+        if not plain:
+            return self._whole(word)
+        core = plain[1].lower()
+        unit = self.known.get(core)
+        if unit is None:
+            unit = self.known[core] = self.older.get(core) or self._unit(core)
+        marks = self.marks.get(plain[2])
+        if marks is None:
+            marks = self.known.get(plain[2])
+        if marks is None:
+            marks = self.known[plain[2]] = self._whole(plain[2])
+        return unit + marks
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
         for i in range(0, len(texts), 256):
             # these three are white space to the tokenizer; other white space stays within a word and is dropped by it
             split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[i : i + 256]]
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            new = {w for own in split for w in own} - self.known.keys()
-            if new:
-                self.learn([*new])
+            if len(self.known) > REMEMBERED:  # words in use come back from the older generation
+                self.older, self.known = self.known, {}
+            for w in {w for own in split for w in own} - self.known.keys():
+                self.known[w] = self._learned(w)
             for own in split:
                 yield b"".join(map(self.known.__getitem__, own))
 
