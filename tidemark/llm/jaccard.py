@@ -207,7 +207,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall:
         sizes = near.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         cand = classes.join(near, "node").join(sizes, "component")
         cand = scratch.table(cand.select("component", "blocks", F.pmod(F.xxhash64("node", "proof"), F.col("blocks")).cast("int").alias("block"), "node", "copies", F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th")))
-        texts = mine.join(cand, mine.doc_id.eqNullSafe(cand.doc_id) & (mine.th == cand.th)).select("component", "blocks", "block", "node", "copies", "text")
+        # candidates grow with the corpus, so their texts are found by a merge join at every size
+        texts = mine.join(cand.hint("merge"), mine.doc_id.eqNullSafe(cand.doc_id) & (mine.th == cand.th)).select("component", "blocks", "block", "node", "copies", "text")
         pairs = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
             "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "copies", "text"
         )
