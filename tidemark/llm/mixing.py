@@ -14,7 +14,7 @@ from .common import Scratch, kept
 #: What counts as a word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of a source that one rounding group holds on average.
-GROUP = 20_000
+GROUP = 1000
 
 
 def size_of(text: Column) -> Column:
