@@ -177,13 +177,14 @@ class Identifier:
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, score, rejected); without a letter ``und``, 0 and True. The language has the least entropy, ties to the first by name."""
+        if not self.langs:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         n, h = self.entropies(texts)
-        best = h.argmin(axis=1) if self.langs else np.zeros(len(texts), int)
-        z = -self.scale * np.sqrt(n)[:, None] * (h - h.min(axis=1, keepdims=True)) if self.langs else np.zeros((len(texts), 1))
-        score = np.where(n > 0, 1 / np.exp(z).sum(axis=1), 0.0) if self.langs else np.zeros(len(texts))
-        none = (n == 0) | (not self.langs)
-        rejected = none | (h[np.arange(len(texts)), best] > self.limit[best]) if self.langs else none
-        return [UNKNOWN if x else self.langs[i] for i, x in zip(best, none, strict=True)], score, rejected
+        best = h.argmin(axis=1)
+        z = -self.scale * np.sqrt(n)[:, None] * (h - h.min(axis=1, keepdims=True))
+        none = n == 0
+        rejected = none | (h[np.arange(len(texts)), best] > self.limit[best])
+        return [UNKNOWN if x else self.langs[i] for i, x in zip(best, none, strict=True)], np.where(none, 0.0, 1 / np.exp(z).sum(axis=1)), rejected
 
 
 def _parts(texts: list[str], most: int = 3_000_000) -> Iterator[tuple[int, int]]:
