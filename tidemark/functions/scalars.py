@@ -75,10 +75,10 @@ def half_even(x: Column, places: int) -> Column:
 
 
 def great_circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Spherical law of cosines; the cosine is clipped, so roundoff never leaves its domain."""
+    """Spherical law of cosines; the cosine is clipped, so roundoff never leaves its domain; null for a null coordinate."""
     a, b = F.radians(lat1), F.radians(lat2)
     cosine = F.sin(a) * F.sin(b) + F.cos(a) * F.cos(b) * F.cos(F.radians(lon2) - F.radians(lon1))
-    return F.lit(EARTH_RADIUS) * F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
+    return F.when(cosine.isNotNull(), F.lit(EARTH_RADIUS) * F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
 
 
 def split_list(c: Column, mark: str = "|") -> Column:

@@ -10,6 +10,7 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,26 +103,51 @@ class Fit:
         return spark.createDataFrame(rows, "term string, coef double, se double, ci_low double, ci_high double, p_value double, n long, clusters long")
 
 
+#: Beyond so many products, they are made by matrix products per partition and not by one aggregate expression each.
+MOST_EXPRESSIONS = 60
+
+
+def products(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray]:
+    """(rows, sums of the products of all pairs of columns). Partitions send one matrix each, which are added before the driver."""
+    k = len(columns)
+    if not k:
+        return df.count(), np.zeros((0, 0))
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    out = np.zeros((k, k))
+    if len(pairs) <= MOST_EXPRESSIONS:
+        got = df.agg(F.count("*").alias("rows"), *[F.sum(F.col(columns[i]) * F.col(columns[j])).alias(f"p{i}_{j}") for i, j in pairs]).first()
+        for i, j in pairs:
+            out[i, j] = out[j, i] = got[f"p{i}_{j}"] or 0.0
+        return got["rows"], out
+
+    def part(batches):
+        n, total = 0, np.zeros((k, k))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            n, total = n + len(x), total + x.T @ x
+        yield pa.record_batch([pa.array([n]), pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["rows", "p"])
+
+    parts = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(part, "rows long, p array<double>")
+    for r in parts.select("rows", F.posexplode("p").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x"), F.sum("rows").alias("rows")).collect():
+        out[divmod(r["at"], k)] = r["x"]
+        n = r["rows"]
+    return n, out
+
+
 def ols(df: DataFrame, y: str, x: list[str], cluster: str) -> Fit:
     """Least squares of centred columns without intercept, CR1 covariance: pinv(X'X) * sum of cluster scores' products *
-    pinv(X'X) * G/(G-1) * (n-1)/(n-k). Products of columns are one aggregate, cluster scores - one row a cluster, whose
-    outer products are summed in the same job - another."""
-    pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
-    got = df.agg(F.count("*").alias("n"), *[F.sum(F.col(x[i]) * F.col(x[j])).alias(f"xx{i}_{j}") for i, j in pairs], *[F.sum(F.col(c) * F.col(y)).alias(f"xy{i}") for i, c in enumerate(x)]).first()
-    n, gram = got["n"], np.zeros((len(x), len(x)))
-    for i, j in pairs:
-        gram[i, j] = gram[j, i] = got[f"xx{i}_{j}"] or 0.0
+    pinv(X'X) * G/(G-1) * (n-1)/(n-k). Products of columns are one aggregate; cluster scores - one row a cluster, whose
+    products are summed where they are - another."""
+    n, every = products(df, [*x, y])
+    gram = every[:-1, :-1]
     inverse = np.linalg.pinv(gram, rcond=1e-10, hermitian=True)
-    coef = inverse @ np.array([got[f"xy{i}"] or 0.0 for i in range(len(x))])
+    coef = inverse @ every[:-1, -1]
     e = F.col(y)
     for c, b in zip(x, coef, strict=True):
         e = e - F.col(c) * F.lit(float(b))
     scores = df.withColumn("_e", e).groupBy(cluster).agg(*[F.sum(F.col(c) * F.col("_e")).alias(f"s{i}") for i, c in enumerate(x)])
-    met = scores.agg(F.count("*").alias("g"), *[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i, j in pairs]).first()
-    meat = np.zeros_like(gram)
-    for i, j in pairs:
-        meat[i, j] = meat[j, i] = met[f"m{i}_{j}"] or 0.0
-    g, k = met["g"], len(x)
+    g, meat = products(scores, [f"s{i}" for i in range(len(x))])
+    k = len(x)
     scale = (g / (g - 1) if g > 1 else float("nan")) * ((n - 1) / (n - k) if n > k else float("nan"))
     return Fit(list(x), coef, inverse @ meat @ inverse * scale, n, g, int(np.linalg.matrix_rank(gram, tol=1e-10 * max(1.0, np.abs(gram).max(initial=0)))))
 
