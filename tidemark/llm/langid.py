@@ -153,7 +153,10 @@ class Identifier:
         """Fits the scale of softmax(-scale * sqrt(characters) * entropy) to texts kept out of the models, by golden
         section on their log loss, and sets each language's entropy that but a ``tail`` of its texts exceeds (with half
         a nat to spare) as the limit beyond which a text is rejected."""
-        n, h = self.entropies(texts)
+        got = [self.entropies(texts[a:b]) for a, b in _parts(texts, 300_000)]
+        if not got:
+            return
+        n, h = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
         known = np.array([x in self.langs for x in langs]) & (n > 0)
         if not known.any():
             return
@@ -187,7 +190,7 @@ class Identifier:
         return [UNKNOWN if x else self.langs[i] for i, x in zip(best, none, strict=True)], np.where(none, 0.0, 1 / np.exp(z).sum(axis=1)), rejected
 
 
-def _parts(texts: list[str], most: int = 3_000_000) -> Iterator[tuple[int, int]]:
+def _parts(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     first = total = 0
     for i, t in enumerate(texts):
         if total and total + len(t) > most:
@@ -205,9 +208,13 @@ def learn(docs: DataFrame, per_language: int = 2000, most_languages: int = 400,
     ``held_mod`` is not ``held``. Of more than ``most_languages`` languages the most frequent are learned.
     """
     fit = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text") <= 200_000) & (crc32_mod("doc_id", held_mod) != held)).select("doc_id", "lang", "text")
-    langs = [r["lang"] for r in fit.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()]
+    counts = {r["lang"]: r["count"] for r in fit.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     chance = F.xxhash64(F.lit(17), "doc_id")
-    ranked = fit.where(F.col("lang").isin(langs)).select("lang", "doc_id").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(chance, "doc_id"))).where(F.col("k") <= per_language)
+    # of each language about four times the rows wanted are ranked, however common it is
+    likely = F.lit(False)
+    for x, n in counts.items():
+        likely = likely | ((F.col("lang") == x) & (chance < F.lit(min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, 4 * per_language / n)))).cast("long")))
+    ranked = fit.where(likely).select("lang", "doc_id").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(chance, "doc_id"))).where(F.col("k") <= per_language)
     # at most per_language * most_languages ids
     limits = ranked.groupBy("lang").agg(F.max(chance).alias("last")).collect()
     bound = None
