@@ -11,8 +11,8 @@ def plain_cuts(raw: bytes) -> list[int]:
     out, at, h = [], 0, 0
     for i, byte in enumerate(raw):
         h = ((h << 1) + int(_GEAR[byte])) & 0xFFFFFFFF
-        # the operator's hash covers 16 bytes: of the bits looked at, earlier bytes have left
-        ones = (h >> 11) & 31 == 31
+        # the operator's hash covers 8 bytes: of the bits looked at, earlier bytes have left
+        ones = (h >> 4) & 15 == 15
         end = i + 1
         if (ones and end - at >= LEAST) or end - at == MOST or end == len(raw):
             out.append(end)
@@ -45,7 +45,7 @@ def test_cuts_never_split_a_character():
 
 def test_planted_passages_go_and_clean_text_stays(spark):
     rng = random.Random(7)
-    passages = [words(rng, rng.randint(51, 90)) for _ in range(60)]
+    passages = [words(rng, rng.randint(51, 60)) for _ in range(60)]
     rows, where = [], {}
     for i in range(300):
         body = [words(rng, rng.randint(40, 120)) for _ in range(2)]
@@ -66,7 +66,7 @@ def test_planted_passages_go_and_clean_text_stays(spark):
             assert set(out[d].text.split()) <= set(rows[d][1].split())
     assert left == 0
     gone = sum(out[d].removed_chars for p, docs in where.items() for d in docs[1:])
-    assert gone > 0.6 * sum(len(passages[p]) * (len(docs) - 1) for p, docs in where.items())
+    assert gone > 0.75 * sum(len(passages[p]) * (len(docs) - 1) for p, docs in where.items())
 
 
 def test_odd_rows(spark):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m"):
+    """Rows go to Python in batches of about ``size``: several workers of an executor hold a batch each, and the JVM a copy."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df``, computed and written to the shared folder; Spark's cleaner removes the files when nothing refers to them."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    with small_batches(df.sparkSession):
+        return df.checkpoint()
 
 
 class Scratch:
@@ -50,10 +64,11 @@ class Scratch:
         at = sc._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
-    def table(self, df: DataFrame, sort_by: str | None = None) -> DataFrame:
+    def table(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.path}/{self.n}"
-        (df.sortWithinPartitions(sort_by) if sort_by else df).write.parquet(path)
+        with small_batches(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, kept, slices, stream, utf8
 
-#: A cut needs these five bits of the hash to be ones: one byte in 32 on average. Bit 15 depends on the last 16 bytes.
-_SHIFT, _ONES = np.uint32(11), np.uint32(31)
-#: Bytes of a chunk. LEAST is over the hash's 16 bytes, so the text before a document never moves its cuts.
-LEAST, MOST = 24, 192
+#: A cut needs bits 4 to 7 of the hash to be ones: one byte in 16 on average. Bit 7 depends on the last 8 bytes alone, so
+#: cuts agree again soon after two texts do.
+_SHIFT, _ONES = np.uint32(4), np.uint32(15)
+#: Bytes of a chunk. LEAST is over the hash's 8 bytes, so the text before a document never moves its cuts. Chunks of about
+#: 32 bytes leave little of a passage of 50 words at its ends.
+LEAST, MOST = 16, 192
 #: A run of repeated chunks is removed if it holds at least so many words.
 MIN_WORDS = 20
 
@@ -25,9 +27,10 @@ _GEAR = stream(1, 256).astype(np.uint32)
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
-    """The low 32 bits of the gear hash h = (h << 1) + gear[byte] over the last 16 bytes, at every byte, by doubling."""
+    """The gear hash h = (h << 1) + gear[byte] over the last 8 bytes, at every byte, by doubling; its low 8 bits are those of
+    the endless hash."""
     h = _GEAR[data]
-    for k in (1, 2, 4, 8):
+    for k in (1, 2, 4):
         h[k:] += h[:-k] << np.uint32(k)
     return h
 
@@ -69,7 +72,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         offsets, data = utf8(batch.column(1))
         oid = batch.column(0).to_numpy(zero_copy_only=False)
-        for a, b in slices(offsets, 4 << 20):
+        for a, b in slices(offsets, 1 << 20):
             base, part = offsets[a], data[offsets[a] : offsets[b]]
             raw, own = part.tobytes(), offsets[a : b + 1] - base
             ids, found, again = [], [], []
