@@ -13,9 +13,10 @@ from .common import crc32_mod, mixed, slices, utf8
 
 #: Bytes of a passage; a document is cut into as many nearly even passages as its length asks for.
 PASSAGE = 400
-#: Features of a passage: shares of 64 character classes, and of class trigrams hashed to 192 buckets.
+#: Features of a passage: shares of 64 character classes, of class trigrams hashed to 192 buckets, and of words that equal
+#: the word before, and how full the passage is.
 CLASSES, BUCKETS = 64, 192
-FEATURES = CLASSES + BUCKETS
+FEATURES = CLASSES + BUCKETS + 2
 
 
 def _classes() -> np.ndarray:
@@ -35,8 +36,29 @@ _CLASS = _classes()
 _BUCKET = (mixed(np.arange(64**3, dtype=np.uint64)) % np.uint64(BUCKETS)).astype(np.int64) + CLASSES
 
 
+_POWERS = mixed(np.arange(256, dtype=np.uint64)) | np.uint64(1)
+
+
+def _repeats(data: np.ndarray, where: np.ndarray, total: int) -> np.ndarray:
+    """The share of each passage's words that equal the word before them in the passage."""
+    space = (data == 32) | (data == 10)
+    start = ~space
+    start[1:] &= space[:-1] | (where[1:] != where[:-1])
+    at = np.flatnonzero(start)
+    if not len(at):
+        return np.zeros(total, np.float32)
+    place = np.zeros(len(data), np.int64)
+    place[at[0] :] = np.arange(at[0], len(data)) - np.repeat(at, np.diff(np.append(at, len(data))))
+    value = np.where(space, np.uint64(0), _POWERS[place & 255] * (data.astype(np.uint64) + np.uint64(1)))
+    word, own = np.add.reduceat(value, at), where[at]
+    same = np.zeros(len(at), bool)
+    same[1:] = (word[1:] == word[:-1]) & (own[1:] == own[:-1])
+    return (np.bincount(own[same], minlength=total) / np.maximum(1, np.bincount(own, minlength=total))).astype(np.float32)
+
+
 def passages(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(where each text's passages begin, encodings of all passages): square roots of the shares, so that lengths do not matter."""
+    """(where each text's passages begin, encodings of all passages): square roots of the shares of
+    characters and trigrams, the share of repeated words, and the length against a full passage."""
     length = np.diff(offsets)
     per = np.maximum(1, -(-length // PASSAGE))
     first = np.concatenate([[0], np.cumsum(per)])
@@ -50,8 +72,12 @@ def passages(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
         same = where[2:] == where[:-2]
         tri = _BUCKET[(kind[:-2] << 12 | kind[1:-1] << 6 | kind[2:])[same]]
         out += np.bincount(where[2:][same] * FEATURES + tri, minlength=total * FEATURES).astype(np.float32).reshape(total, FEATURES)
-    size = np.maximum(1, out[:, :CLASSES].sum(axis=1, keepdims=True))
-    return first, np.sqrt(out / size)
+    filled = out[:, :CLASSES].sum(axis=1, keepdims=True)
+    out = np.sqrt(out / np.maximum(1, filled))
+    if len(data):
+        out[:, -2] = _repeats(data, where, total)
+    out[:, -1:] = np.minimum(1, filled / PASSAGE)
+    return first, out
 
 
 class Attention:
