@@ -158,11 +158,15 @@ def fe_regression(df: DataFrame, y: str, x: list[str], unit: str, time: str | No
     for a, b in interactions:
         df = df.withColumn(f"{a}:{b}", F.col(a) * F.col(b))
     terms = [*x, *[f"{a}:{b}" for a, b in interactions]]
-    whole = df.select(*dict.fromkeys([y, *terms, unit, cluster, *([time] if time else [])])).na.drop()
-    flat = demean(whole, [y, *terms], unit, time)
-    var = flat.agg(*[F.avg(F.col(c) * F.col(c)).alias(f"v{i}") for i, c in enumerate(terms)]).first()
-    kept = [c for i, c in enumerate(terms) if (var[f"v{i}"] or 0.0) > least_variance]
-    fit = ols(flat, y, kept, cluster)
+    # several passes over a few columns: they are kept, spilling to disk, so that what they come from runs once
+    whole = df.select(*dict.fromkeys([y, *terms, unit, cluster, *([time] if time else [])])).na.drop().persist()
+    try:
+        flat = demean(whole, [y, *terms], unit, time)
+        var = flat.agg(*[F.avg(F.col(c) * F.col(c)).alias(f"v{i}") for i, c in enumerate(terms)]).first()
+        kept = [c for i, c in enumerate(terms) if (var[f"v{i}"] or 0.0) > least_variance]
+        fit = ols(flat, y, kept, cluster)
+    finally:
+        whole.unpersist()
     fit.dropped = [c for c in terms if c not in kept]
     return fit
 
@@ -192,6 +196,14 @@ def event_study(panel: DataFrame, y: str, unit: str = "post_code", month: str =
     buckets with fewer than ``least`` rows in either arm go. ValueError if no row is left or the reference bucket is gone,
     as the others then mean nothing."""
     rows = panel.where(F.col(y).isNotNull() & F.col("event_time").isNotNull()).withColumn("bucket", F.greatest(F.lit(-window + 2), F.least(F.lit(window - 2), F.col("event_time"))))
+    rows = rows.select(unit, month, y, "treated", "bucket").persist()
+    try:
+        return _event_study(rows, y, unit, month, reference, least)
+    finally:
+        rows.unpersist()
+
+
+def _event_study(rows: DataFrame, y: str, unit: str, month: str, reference: int, least: int) -> EventStudy:
     arms = rows.groupBy("bucket").agg(F.count_if(F.col("treated") == 1).alias("a"), F.count_if(F.col("treated") == 0).alias("b")).where((F.col("a") >= least) & (F.col("b") >= least))
     buckets = sorted(r["bucket"] for r in arms.select("bucket").collect())
     if reference not in buckets:
