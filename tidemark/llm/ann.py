@@ -50,7 +50,7 @@ def index_block(dim: int, ids: np.ndarray, x: np.ndarray, pivot: np.ndarray, m:
     return find
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int, n_pivots: int = 256, m: int = 64, share: float = 0.25, least: int = 128, block_rows: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int, n_pivots: int = 256, m: int = 64, share: float = 0.4, least: int = 128, block_rows: int = 4096) -> DataFrame:
     """``vectors(id, vec)`` -> query_id, rank, vec_id, score: k near neighbours of each query by Euclidean distance.
 
     Pivots are at most ``n_pivots`` rows of each length, chosen by hash. Every row is indexed. The reranked share of each
