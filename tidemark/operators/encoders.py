@@ -88,6 +88,15 @@ def bin_of(c: Column, edges: list[float]) -> Column:
     return out.otherwise(F.lit(-1))
 
 
+#: Fitted tables of up to so many keys are held as local rows; larger ones stay queries on the training rows.
+LOCAL_KEYS = 20_000
+
+
+def _fitted(table: DataFrame) -> DataFrame:
+    rows = table.limit(LOCAL_KEYS + 1).collect()
+    return table if len(rows) > LOCAL_KEYS else table.sparkSession.createDataFrame(rows, table.schema)
+
+
 @dataclass
 class Encoder:
     """Fits on training rows and transforms any rows of the same columns; the fitted numbers are one row per column or a
@@ -114,8 +123,8 @@ class Encoder:
             self.degenerate = [c for c in s.numeric if got[c] is None]
             self.medians = {c: 0.0 if got[c] is None else float(got[c]) for c in s.numeric}
         self.edges = bin_edges(train, list(s.binned), s.bins)
-        self.freq = {c: frequency_table(train, c) for c in (*s.low_card, *s.high_card)}
-        self.te = {c: target_table(train, c, s.target, s.smoothing) for c in s.high_card}
+        self.freq = {c: _fitted(frequency_table(train, c)) for c in (*s.low_card, *s.high_card)}
+        self.te = {c: _fitted(target_table(train, c, s.target, s.smoothing)) for c in s.high_card}
         self.mean = train.agg(F.avg(s.target)).first()[0] if s.high_card else None
         encoded = self._encoded(train)
         stats = encoded.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in self.names]).first()

@@ -103,3 +103,9 @@ def diagnostic(marked: DataFrame, bounds: DataFrame, columns: list[str], group:
     counts = marked.groupBy(group.cast("string").alias("grp")).agg(F.count("*").alias("rows"), F.count_if(F.col("iqr_keep")).alias("kept"), F.count_if(F.col("iqr_corruption_ok") & ~F.col("iqr_keep")).alias("flagged"), F.count_if(~F.col("iqr_corruption_ok")).alias("dropped"))
     upper = bounds.groupBy("grp").agg(*[F.max(F.when(F.col("column") == c, F.pow(F.lit(10.0), "hi"))).alias(f"upper_{c}") for c in columns])
     return counts.join(upper, "grp", "left").withColumn("share_flagged", F.col("flagged") / F.col("rows"))
+
+
+def drop_outside(df: DataFrame, bounds: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows within the global fences of all columns; others, and what cannot be judged, go."""
+    glob = _wide(bounds.where(F.col("grp") == ALL), columns, "glob")
+    return df.crossJoin(F.broadcast(glob.limit(1))).where(inside(columns, "glob")).select(*df.columns)

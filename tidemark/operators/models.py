@@ -126,13 +126,13 @@ def curve_verdict(points: list[tuple[int, float]], flat: float = 0.002) -> dict:
 
 def permute_within(df: DataFrame, column: str, key: str, within: list[str] | None = None, seed: int = 36103) -> DataFrame:
     """A placebo: ``column`` dealt anew among the rows (of each group of ``within``), missing values included. The n-th row
-    in one hashed order gets the value of the n-th in another; without groups, rows are dealt in hash ranges of a
-    fixed number, so no task sees them all."""
+    in one hashed order gets the value of the n-th in another; without groups, rows are dealt by hash to groups of
+    about 50,000, so no task sees them all."""
     from pyspark.sql import Window
 
     h = lambda s: F.xxhash64(F.lit(seed), F.lit(s), F.col(key).cast("string"))
     groups = within or ["_part"]
-    base = df if within else df.withColumn("_part", F.pmod(h("part"), F.lit(64)))
+    base = df if within else df.withColumn("_part", F.pmod(h("part"), F.lit(max(1, df.count() // 50_000))))
     a = base.withColumn("_n", F.row_number().over(Window.partitionBy(*groups).orderBy(h("a"), key)))
     b = base.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col(column).alias("_value"), F.row_number().over(Window.partitionBy(*groups).orderBy(h("b"), key)).alias("_r"))
     on = F.col("_n") == F.col("_r")

@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
-from ..operators import cleaning, describe, econometrics, encoders, fences, geo, keys, metrics, models, panel, splits, temporal
+from ..operators import cleaning, describe, econometrics, encoders, fences, geo, hypotheses, keys, metrics, models, panel, splits, temporal
 from ..sources import tables
+from . import pipelines
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -735,34 +736,98 @@ def random_treatment_placebo(spark, sf_dir):
     return out
 
 
-def _cv(spark, sf_dir: str, fit: Callable) -> DataFrame:
-    """Scores by fold of a learner over encoded features; ``fit(train, names)`` returns a function that adds prediction."""
-    spec = encoders.FeatureSpec(numeric=("area_sqm", "pc_median_price_12m", "year_num"), low_card=("council", "zoning"), high_card=("post_code",))
-    base = panel.attach_panel(sales(spark, sf_dir), panel.rolling_features(_spine(spark, sf_dir)))
-    base = base.withColumn("log_price", s.safe_log10(F.col("purchase_price"))).withColumn("year_num", s.calendar_features(F.col("contract_date"))["year_num"]).where("log_price is not null").cache()
-    out = None
-    for fold in _FOLDS:
-        train, valid = splits.split(base, fold)
-        encoder = encoders.Encoder(spec).fit(train)
-        scored = fit(encoder.transform(train), encoder.names)(encoder.transform(valid))
-        own = metrics.report(scored, "log_price", "prediction").withColumn("fold", F.lit(fold.fold))
-        out = own if out is None else out.unionByName(own)
-    return out
+_SPEC = encoders.FeatureSpec(numeric=("area_sqm", "pc_median_price_12m", "year_num"), low_card=("council", "zoning"), high_card=("post_code",))
+
+
+def _cv(spark, sf_dir: str, name: str, **sizes) -> DataFrame:
+    """Scores by fold of a learner over features of a whole run."""
+    return pipelines.cross_validate(pipelines.build_features(sales(spark, sf_dir)).persist(), _SPEC, _FOLDS, [name], **sizes).by_fold
 
 
 @query("fold:i n:i rmsle:f r2:f mdape:f")
 def ridge_cv(spark, sf_dir):
     """A solved linear system per fold; tests hold it against the closed form."""
-    return _cv(spark, sf_dir, lambda train, names: models.ridge(train, names, "log_price").predict)
+    return _cv(spark, sf_dir, "ridge")
 
 
 @query("fold:i n:i rmsle:f r2:f mdape:f")
 def rf_cv(spark, sf_dir):
     """Learned trees."""
-    return _cv(spark, sf_dir, lambda train, names: models.random_forest(train, names, "log_price", trees=10, depth=6)[0])
+    return _cv(spark, sf_dir, "random_forest", random_forest={"trees": 10, "depth": 6})
 
 
 @query("fold:i n:i rmsle:f r2:f mdape:f")
 def gbt_cv(spark, sf_dir):
     """Learned trees."""
-    return _cv(spark, sf_dir, lambda train, names: models.gradient_boosting(train, names, "log_price", "contract_date", "sale_id", rounds=8, depth=4)[0])
+    return _cv(spark, sf_dir, "gbt", gbt={"rounds": 8, "depth": 4})
+
+
+# whole runs
+
+
+@query("sale_id:i log_price:f log_area:f month_sin:f pc_median_price_12m:f contemporaneous_n_sales:i zoning:s", f"""with {SALES}, {PANEL}, {SPINE}, {_FEATURES}, z as (select zoning as zone, count(*) as zn from (select upper(trim(zoning)) as zoning from sales) group by 1)
+  select sale_id, log10(purchase_price) as log_price, log10(area_sqm) as log_area, sin(2 * pi() * month(contract_date) / 12) as month_sin, pc_median_price_12m, n_sales as contemporaneous_n_sales, case when zn < 500 then 'OTHER' else zone end as zoning
+  from sales s left join features f on s.post_code = f.post_code and date_trunc('month', contract_date) = f.month left join z on upper(trim(s.zoning)) = zone where area_sqm is not null and purchase_price is not null""")
+def feature_frame(spark, sf_dir):
+    return pipelines.build_features(sales(spark, sf_dir))
+
+
+@query("sale_id:i", f"""with {SALES}, {_LOGGED}, {_FIT.format(rows="logged")}, {_WIDE} select l.sale_id from logged l join wide g on g.grp = '__all__' where lp between plo and phi and la between alo and ahi""")
+def global_fence_removal(spark, sf_dir):
+    df = sales(spark, sf_dir)
+    return fences.drop_outside(df, fences.global_bounds(df, _COLS), _COLS)
+
+
+@query("kind:s value:s n:i rmsle:f mae_log10:f r2:f mdape:f mape:f", f"""{_NAIVE}, u as (select 'council' as kind, council as value, * from naive union all select 'year', cast(year(contract_date) as varchar), * from naive) select kind, value, {_METRICS} from u group by 1, 2 having count(*) >= 200""")
+def diagnostics(spark, sf_dir):
+    return pipelines.diagnostics(_naive(spark, sf_dir).withColumn("year", _year()), {"council": "council", "year": "year"})
+
+
+@query("fold:i AUTOMOBILE:f BUILDING:f", f"{_NAIVE}, {_SCORES} select fold, max(case when model = 'AUTOMOBILE' then rmsle end) as AUTOMOBILE, max(case when model = 'BUILDING' then rmsle end) as BUILDING from scores group by 1")
+def fold_table(spark, sf_dir):
+    return pipelines.fold_table(_scores(spark, sf_dir), ["AUTOMOBILE", "BUILDING"])
+
+
+@query("model:s mean_difference:f wins:i folds:i", f"""{_NAIVE}, {_SCORES} select s.model, avg(s.rmsle - b.rmsle) as mean_difference, count_if(s.rmsle < b.rmsle) as wins, count(*) as folds from scores s join scores b on s.fold = b.fold and b.model = 'BUILDING' where s.model <> 'BUILDING' group by 1""")
+def paired_differences(spark, sf_dir):
+    return metrics.paired_differences(_scores(spark, sf_dir).withColumnRenamed("model", "config"), "BUILDING").withColumnRenamed("config", "model")
+
+
+@query("post_code:i month:d pc_median_price_3m:f", f"""with {SALES}, {PANEL}, {SPINE}, {_FEATURES}, r as (select *, row_number() over (partition by post_code order by month) as a, row_number() over (partition by post_code order by month desc) as b from features)
+  select x.post_code, x.month, y.pc_median_price_3m from r x join r y on x.post_code = y.post_code and x.a = y.b""")
+def time_reversed_placebo(spark, sf_dir):
+    return hypotheses.time_reversed(panel.rolling_features(_spine(spark, sf_dir), windows=(3,)))
+
+
+@query("statistic:s estimate:f low:f high:f draws:i clusters:i")
+def area_price_headline(spark, sf_dir):
+    """Random draws of our own."""
+    return hypotheses.area_price(sales(spark, sf_dir), draws=50).headline
+
+
+@query("specification:s term:s coef:f se:f n:i")
+def elasticity_robustness(spark, sf_dir):
+    """As fe_regression."""
+    df = sales(spark, sf_dir).withColumn("distance", (F.col("post_code") % 7) * 1.5)
+    out = None
+    for name, fit in hypotheses.robustness(df, "distance").items():
+        own = fit.frame(spark).withColumn("specification", F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query("draw:i correlation:f")
+def unit_price_placebo(spark, sf_dir):
+    """Random draws of our own."""
+    return hypotheses.unit_price(sales(spark, sf_dir), "sale_id", draws=2).placebo
+
+
+@query("name:s passed:b violations:i")
+def run_consistency(spark, sf_dir):
+    """Tables of a run of two baselines agree with each other; driver-side comparison of a few counts."""
+    features = pipelines.build_features(sales(spark, sf_dir)).persist()
+    runs = pipelines.cross_validate(features, _SPEC, _FOLDS, ["naive", "global"])
+    held = pipelines.evaluate_holdout(features, _SPEC, ["naive", "global"])
+    out = pipelines.consistency(runs.predictions, runs.by_fold, runs.pooled, held.pooled)
+    features.unpersist()
+    return out

@@ -21,6 +21,10 @@ def raw_sales(spark: SparkSession, path: str, columns: tuple[str, ...] = RAW_COL
     return spark.read.csv(path, header=True, schema=T.StructType([T.StructField(c, T.StringType()) for c in columns]))
 
 
+def count_rows(spark: SparkSession, path: str) -> int:
+    return raw_sales(spark, path).count()
+
+
 def clean(spark: SparkSession, path: str, floats: tuple[str, ...] = ("purchase_price", "area_sqm")) -> DataFrame:
     df = spark.read.parquet(path)
     return df.withColumns({c: F.col(c).cast("double") for c in floats if c in df.columns})
