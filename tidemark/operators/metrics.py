@@ -79,10 +79,10 @@ def _dealt(rows: DataFrame, value: str, weight: Column) -> DataFrame:
     n = COARSE * COARSE
     at = F.array(*[F.lit(i / n) for i in range(1, n)])
     one = rows.agg(F.approx_percentile(F.col(value).cast("double"), at, F.lit(10000)).alias("_e"))
-    one = one.withColumn("_c", F.transform(F.sequence(F.lit(1), F.lit(COARSE - 1)), lambda i: F.col("_e")[i * COARSE - 1]))
-    first = F.size(F.filter("_c", lambda e: e <= F.col(value))) * COARSE
+    one = one.withColumn("_coarse", F.transform(F.sequence(F.lit(1), F.lit(COARSE - 1)), lambda i: F.col("_e")[i * COARSE - 1]))
+    first = F.size(F.filter("_coarse", lambda e: e <= F.col(value))) * COARSE
     placed = rows.crossJoin(F.broadcast(one)).withColumn("_k", first)
-    return placed.withColumn("_part", F.col("_k") + F.size(F.filter(F.slice("_e", F.col("_k") + 1, COARSE - 1), lambda e: e <= F.col(value)))).drop("_e", "_c", "_k")
+    return placed.withColumn("_part", F.col("_k") + F.size(F.filter(F.slice("_e", F.col("_k") + 1, COARSE - 1), lambda e: e <= F.col(value)))).drop("_e", "_coarse", "_k")
 
 
 def ranked_bins(df: DataFrame, value: str, tie: str, bins: int, out: str = "bin") -> DataFrame:
