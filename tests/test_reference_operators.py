@@ -407,6 +407,18 @@ def test_event_study_finds_the_effect(spark):
     assert all(abs(d.post_mean()) < 0.3 for d in draws)
 
 
+def test_event_study_matches_dense_least_squares(spark):
+    df = made_panel(spark, seed=9).where("event_time between -24 and 24")
+    df = df.union(df.where("x > 10"))  # several rows a cell
+    got = econometrics.event_study(df, "y")
+    bucket = F.greatest(F.lit(-22), F.least(F.lit(22), F.col("event_time")))
+    names = [f"d{i}" for i in range(len(got.times))]
+    wide = df.select("*", *[((bucket == t) & (F.col("treated") == 1)).cast("double").alias(c) for c, t in zip(names, got.times)])
+    assert np.allclose(got.fit.coef, dense(wide, "y", names, "post_code", "month"), atol=1e-8)
+    same = econometrics.ols(econometrics.demean(wide, ["y", *names], "post_code", "month"), "y", names, "post_code")
+    assert np.allclose(got.fit.cov, same.cov, atol=1e-10) and (got.fit.n, got.fit.clusters) == (same.n, same.clusters)
+
+
 def test_p_values():
     assert abs(econometrics.normal_p(1.959963985) - 0.05) < 1e-9
     assert abs(econometrics.chi2_sf(3.841458821, 1) - 0.05) < 1e-9 and abs(econometrics.chi2_sf(18.307038, 10) - 0.05) < 1e-7 and abs(econometrics.chi2_sf(2.0, 2) - math.exp(-1)) < 1e-12

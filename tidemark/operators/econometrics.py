@@ -7,6 +7,7 @@ from cell sums per (unit, time).
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -209,14 +210,79 @@ def _event_study(rows: DataFrame, y: str, unit: str, month: str, reference: int,
     if reference not in buckets:
         raise ValueError("the reference bucket is not observed in both arms")
     times = [t for t in buckets if t != reference]
-    name = lambda t: f"b{t}".replace("-", "m")
-    made = rows.where(F.col("bucket").isin(buckets)).select(unit, month, F.col(y).cast("double").alias(y), *[((F.col("bucket") == t) & (F.col("treated") == 1)).cast("double").alias(name(t)) for t in times])
-    fit = ols(demean(made, [y, *map(name, times)], unit, month), y, [name(t) for t in times], unit)
+    coded = F.when(F.col("treated") == 1, F.array_position(F.array(*[F.lit(t) for t in times]), F.col("bucket")).cast("int") - 1).otherwise(F.lit(-1)) if times else F.lit(-1)
+    cells = rows.where(F.col("bucket").isin(buckets)).groupBy(unit, month, coded.alias("j")).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("double")).alias("s"))
+    fit = _one_hot_fit(cells, unit, month, [f"event_time {t}" for t in times])
     pre = [i for i, t in enumerate(times) if t < reference]
     b, v = fit.coef[pre], fit.cov[np.ix_(pre, pre)]
     return EventStudy(fit, times, reference, chi2_sf(float(b @ np.linalg.pinv(v) @ b), len(pre)) if pre else float("nan"))
 
 
+def _summed(units: DataFrame, part: Callable, size: int) -> np.ndarray:
+    """The sum of a vector of ``size`` numbers that ``part`` makes of each partition's units, added before the driver."""
+
+    def run(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            for cells in batch.column(0).to_pylist():
+                part(total, cells)
+        yield pa.record_batch([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["p"])
+
+    out = np.zeros(size)
+    for r in units.mapInArrow(run, "p array<double>").select(F.posexplode("p").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect():
+        out[r["at"]] = r["x"]
+    return out
+
+
+def _one_hot_fit(cells: DataFrame, unit: str, month: str, names: list[str], most_times: int = 2_000) -> Fit:
+    """Least squares on one-hot columns with unit and month effects, clustered by unit, from cells(unit, month, j, n, s): j is
+    the column that is 1 in the cell (-1: none), n its rows and s their sum of y.
+
+    A unit's cells - at most a few a month - are one row. The first pass adds up, over units, the products of month
+    dummies, columns and y within units; the driver frees them of months. The second adds up the products of the units'
+    scores. Both send matrices as wide as months and columns, whatever the rows.
+    """
+    months = [r[0] for r in cells.select(month).distinct().orderBy(month).limit(most_times + 1).collect()]
+    if len(months) > most_times:
+        raise ValueError("too many months for the driver")
+    at, k, width = {m: i for i, m in enumerate(months)}, len(names), len(months) + len(names) + 1
+    t = len(months)
+    units = cells.groupBy(unit).agg(F.collect_list(F.struct(month, "j", "n", "s")).alias("cells")).select("cells")
+
+    def design(own):
+        x = np.zeros((len(own), width))
+        for i, c in enumerate(own):
+            x[i, at[c[month]]] = 1
+            if c["j"] is not None and c["j"] >= 0:
+                x[i, t + c["j"]] = 1
+            x[i, -1] = c["s"] / c["n"]
+        return x, np.array([c["n"] for c in own], float)
+
+    def gram(total, own):
+        x, n = design(own)
+        x = x - (n @ x) / n.sum()
+        total[:-2] += (x.T @ (x * n[:, None])).ravel()
+        total[-2:] += n.sum(), 1
+
+    got = _summed(units, gram, width * width + 2)
+    g, rows, clusters = got[:-2].reshape(width, width), int(got[-2]), int(got[-1])
+    effects = np.linalg.pinv(g[:t, :t], rcond=1e-12, hermitian=True) @ g[:t, t:]
+    free = g[t:, t:] - g[t:, :t] @ effects
+    inverse = np.linalg.pinv(free[:k, :k], rcond=1e-10, hermitian=True)
+    coef = inverse @ free[:k, k]
+
+    def scores(total, own):
+        x, n = design(own)
+        r = x[:, t:] - x[:, :t] @ effects
+        r -= (n @ r) / n.sum()
+        score = r[:, :k].T @ (n * (r[:, k] - r[:, :k] @ coef))
+        total += np.outer(score, score).ravel()
+
+    meat = _summed(units, scores, k * k).reshape(k, k) if k else np.zeros((0, 0))
+    scale = (clusters / (clusters - 1) if clusters > 1 else float("nan")) * ((rows - 1) / (rows - k) if rows > k else float("nan"))
+    return Fit(names, coef, inverse @ meat @ inverse * scale, rows, clusters, int(np.linalg.matrix_rank(free[:k, :k], tol=1e-10 * max(1.0, np.abs(free[:k, :k]).max(initial=0)))) if k else 0)
+
+
 def placebo_shifted(panel: DataFrame, y: str, shift: int, window: int = 12, **how) -> EventStudy:
     """The event moved by ``shift`` months, over months before the true event only."""
     moved = panel.where("event_time < 0").withColumn("event_time", F.col("event_time") - shift).where(F.col("event_time").between(-window, window))
