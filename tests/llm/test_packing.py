@@ -16,11 +16,10 @@ def texts():
 
 
 def test_ids_equal_the_whole_tokenizer():
-    ids = WordIds(_tokenizer(None))
-    assert ids.short
     for short in (True, False):
-        ids.short, ids.known, ids.older = short, {}, {}
-        own = texts()
+        ids, own = WordIds(_tokenizer(None)), texts()
+        assert ids.short
+        ids.short = short
         for t, got in zip(own, ids.encode(own), strict=True):
             assert np.frombuffer(got, "<u4").tolist() == ids.tokenizer.encode(t, add_special_tokens=False).ids
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, kept
 
 #: Distinct words whose ids a worker keeps at hand.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 _loaded: dict[str, object] = {}
 
 
@@ -27,6 +27,18 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Known(dict):
+    """Ids by word; a word that is not there is learned."""
+
+    def __init__(self, learned):
+        super().__init__()
+        self.learned = learned
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.learned(word)
+        return ids
+
+
 class WordIds:
     """Ids of texts, word by word: the tokenizer treats what white space separates independently, so ids of a distinct
     word are made once. Plain words - Latin letters, perhaps with ASCII marks behind - go straight to the
@@ -42,7 +54,8 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letter = _byte_letters()
-        self.known: dict[str, bytes] = {}
+        self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.known: dict[str, bytes] = _Known(self._learned)
         self.older: dict[str, bytes] = {}
         self.marks = {m: self._whole(m) for m in (".", ",", "%%%", "!!")} | {"": b""}
         self.short = all(self._unit(w.lower()) + self.marks[m] == self._whole(w + m) for w in self.TRIAL for m in self.marks)
@@ -53,37 +66,40 @@ class WordIds:
     def _unit(self, word: str) -> bytes:
         if not word.isascii():
             word = "".join(map(self.letter.__getitem__, word.encode()))
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)])
+        four = self.four
+        return b"".join([four[t.id] for t in self.model.tokenize(word)])
 
     def _learned(self, word: str) -> bytes:
         old = self.older.get(word)
         if old is not None:
             return old
-        plain = self.PLAIN.fullmatch(word) if self.short else None
-        if not plain:
+        if not self.short:
+            return self._whole(word)
+        if word.isascii() and word.isalpha():
+            core, marks = word.lower(), ""
+        elif plain := self.PLAIN.fullmatch(word):
+            core, marks = plain[1].lower(), plain[2]
+        else:
             return self._whole(word)
-        core = plain[1].lower()
         unit = self.known.get(core)
         if unit is None:
-            unit = self.known[core] = self.older.get(core) or self._unit(core)
-        marks = self.marks.get(plain[2])
-        if marks is None:
-            marks = self.known.get(plain[2])
-        if marks is None:
-            marks = self.known[plain[2]] = self._whole(plain[2])
-        return unit + marks
+            unit = self.older.get(core) or self._unit(core)
+            if core != word:
+                self.known[core] = unit
+        if not marks:
+            return unit
+        behind = self.marks.get(marks) or self.known.get(marks)
+        if behind is None:
+            behind = self.known[marks] = self._whole(marks)
+        return unit + behind
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
-        for i in range(0, len(texts), 256):
-            # these three are white space to the tokenizer; other white space stays within a word and is dropped by it
-            split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[i : i + 256]]
+        for t in texts:
             if len(self.known) > REMEMBERED:  # words in use come back from the older generation
-                self.older, self.known = self.known, {}
-            for w in {w for own in split for w in own} - self.known.keys():
-                self.known[w] = self._learned(w)
-            for own in split:
-                yield b"".join(map(self.known.__getitem__, own))
+                self.older, self.known = self.known, _Known(self._learned)
+            # these three are white space to the tokenizer; other white space stays within a word and is dropped by it
+            yield b"".join(map(self.known.__getitem__, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
 
 def _pieces(path: str, capacity: int):
