@@ -130,3 +130,41 @@ def test_quality(spark):
     assert quality.classify(docs.limit(0), lab).count() == 0
     assert {r.score for r in quality.classify(docs, lab.limit(0)).collect()} == {0.5}
     assert {r.score for r in quality.classify(docs, lab.where("quality = 1")).collect()} == {1.0}
+
+
+def test_sampled_passages_are_those_of_the_whole():
+    raw = [t.encode() for t in ("", "abc def def " * 900, "é" * 401, "x")]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    first, x = quality.passages(offsets, data)
+    counts, at, own = quality.sampled(offsets, data, 10**6)
+    assert counts.tolist() == np.diff(first).tolist() and np.array_equal(quality.passages(at, own)[1], x)
+    counts, at, own = quality.sampled(offsets, data, 5)
+    assert counts.tolist() == [1, 5, 3, 1] and len(at) == 11
+    whole, some = {r.tobytes() for r in x[first[1] : first[2]]}, quality.passages(at, own)[1][1:6]
+    assert all(r.tobytes() in whole for r in some)
+
+
+def test_level():
+    assert quality.level([3, 1, 2], 6) == 3 and quality.level([10, 1, 10], 9) == 4 and quality.level([5, 5], 1) == 1 and quality.level([], 4) == 1
+    rng = random.Random(1)
+    for _ in range(50):
+        sizes, budget = [rng.randint(1, 40) for _ in range(9)], rng.randint(9, 400)
+        got = quality.level(sizes, budget)
+        assert sum(min(s, got) for s in sizes) <= budget and (got >= max(sizes) or sum(min(s, got + 1) for s in sizes) > budget)
+
+
+def test_quality_learns_from_long_documents(spark):
+    rng = random.Random(13)
+    rows, labels = [], []
+    for i in range(120):
+        t, good = prose(rng, "aa", 5500), i % 2
+        rows.append((i, t if good else t[: len(t) // 2] + " " + junk(rng, t[len(t) // 2 :]), "en", "s", 0))
+        labels.append((i, good, 0))
+    assert min(len(r[1].encode()) for r in rows) > 64 * quality.PASSAGE
+    labels += [(1000 + i, 1, 0) for i in range(5000)]  # without a document: they take no place in the sample
+    docs, lab = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = quality.classify(docs, lab).collect()
+    held = [r for r in got if r.held_out]
+    assert len(held) > 20 and sum(r.predicted == r.doc_id % 2 for r in held) / len(held) > 0.9
+    assert isinstance(quality.learn(docs, lab, most_docs=40), quality.Attention)  # 20 documents of each label, none seen whole

@@ -123,7 +123,7 @@ class Attention:
             for i in range(0, len(order), batch):
                 own = order[i : i + batch]
                 first = np.concatenate([[0], np.cumsum([len(docs[k]) for k in own])])
-                logit, state = self.forward(np.concatenate([docs[k] for k in own]).astype(np.float32), first)
+                logit, state = self.forward(np.concatenate([docs[k] for k in own], dtype=np.float32), first)
                 d = ((1 / (1 + np.exp(-logit)) - label[own]) * weight[own] / len(own)).astype(np.float32)
                 step += 1
                 for k, g in self.gradient(state, d).items():
@@ -141,16 +141,45 @@ class Attention:
         return np.concatenate(out)
 
 
+def sampled(offsets: np.ndarray, data: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(counts, offsets, bytes) of the texts' passages, each a text of its own with the encoding it has in the whole; of a
+    text with more than ``most``, so many drawn over its whole length by a hash."""
+    counts, begins, ends = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for start, length in zip(offsets[:-1].tolist(), np.diff(offsets).tolist(), strict=True):
+        per = max(1, -(-length // PASSAGE))
+        own = np.arange(per)
+        if per > most:
+            own = np.sort(np.argsort(mixed(mixed(own.astype(np.uint64)) ^ np.uint64(length)), kind="stable")[:most])
+        counts.append(len(own))
+        begins.append(start - -own * length // per)
+        ends.append(start - -(own + 1) * length // per)
+    begin, end = np.concatenate(begins), np.concatenate(ends)
+    out = np.concatenate([[0], np.cumsum(end - begin)])
+    return np.array(counts, np.int64), out, data[np.repeat(begin - out[:-1], end - begin) + np.arange(out[-1])]
+
+
+def level(sizes: list[int], budget: int) -> int:
+    """The largest bound, at least 1, that keeps the sum of min(size, bound) within the budget."""
+    left = budget
+    for i, size in enumerate(ordered := sorted(sizes)):
+        if size * (len(ordered) - i) > left:
+            return max(1, left // (len(ordered) - i))
+        left -= size
+    return max(1, *sizes, 1)
+
+
 def learn(docs: DataFrame, labels: DataFrame, most_docs: int = 4000, most_passages: int = 64, held_mod: int = 3, held: int = 1) -> Attention | float:
     """A model from at most ``most_docs`` labelled documents, or the share of label 1 where the labels have one value only
     (0.5 without labels).
 
     Documents whose crc32(doc_id as text) modulo ``held_mod`` is ``held`` are not learned from, nor are rows without
-    doc_id or with another label than 0 or 1; a document with several labels has the larger. Half the sample comes from
-    each label, chosen by a hash of doc_id and weighted back to the labels' shares. Only documents of at most
-    ``most_passages`` passages are learned from; these two bounds keep what the driver gets small at any size.
+    doc_id or with another label than 0 or 1, nor labels without a document; a document with several labels has the larger.
+    Half the sample comes from each label, chosen by a hash of doc_id and weighted back to the labels' shares. Documents
+    of any length are learned from. The driver gets at most ``most_docs * most_passages`` passages: all of them where that
+    holds the sample; else the longest documents alike give as many as it holds, drawn over their whole length by a hash.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc32_mod("doc_id", held_mod) != held)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     if len(counts) < 2:
@@ -160,21 +189,23 @@ def learn(docs: DataFrame, labels: DataFrame, most_docs: int = 4000, most_passag
         part = known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs // 2)
         chosen = part if chosen is None else chosen.union(part)
     # at most most_docs rows of two numbers
-    rows = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_passages * PASSAGE).join(F.broadcast(chosen), "doc_id")
-    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    chosen = docs.sparkSession.createDataFrame(chosen.collect(), "doc_id long, quality int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    lengths = rows.groupBy("doc_id").agg(F.min_by(F.coalesce(F.octet_length("text"), F.lit(0)), F.xxhash64("text")).alias("n")).collect()
+    most = level([max(1, -(-r["n"] // PASSAGE)) for r in lengths], most_docs * most_passages)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, data = utf8(batch.column(2))
-            for a, b in slices(offsets, 1 << 20):
-                first, x = passages(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])
-                part = batch.slice(a, b - a)
-                yield pa.record_batch([part.column(0).cast(pa.int64()), part.column(1).cast(pa.int32()), pa.array([x[first[i] : first[i + 1]].astype(np.float16).tobytes() for i in range(b - a)], pa.binary())], names=["doc_id", "quality", "x"])
-
-    got = sorted(rows.mapInArrow(encode, "doc_id long, quality int, x binary").collect())
+            offsets, data = utf8(batch.column(3))
+            for i in range(batch.num_rows):
+                _, at, own = sampled(offsets[i : i + 2], data, most)
+                x = [passages(at[a : b + 1] - at[a], own[at[a] : at[b]])[1].astype(np.float16).tobytes() for a, b in slices(at, 1 << 20)]
+                part = batch.slice(i, 1)
+                yield pa.record_batch([part.column(0), part.column(1), part.column(2), pa.array([b"".join(x)], pa.binary())], names=["doc_id", "quality", "hash", "x"])
+
+    made = rows.select("doc_id", "quality", F.xxhash64("text").alias("hash"), "text").mapInArrow(encode, "doc_id long, quality int, hash long, x binary")
+    got = sorted(made.groupBy("doc_id", "quality").agg(F.min_by("x", "hash").alias("x")).collect())
     label = np.array([r["quality"] for r in got], np.float32)
-    if len(set(label.tolist())) < 2:
-        return float(label[0]) if len(label) else counts.get(1, 0) / total
     have = {q: float((label == q).sum()) for q in (0, 1)}
     weight = np.array([counts[int(q)] / total * len(label) / have[int(q)] for q in label], np.float32)
     return Attention().fit([np.frombuffer(r["x"], np.float16).reshape(-1, FEATURES) for r in got], label, weight)
