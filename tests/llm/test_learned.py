@@ -168,3 +168,25 @@ def test_quality_learns_from_long_documents(spark):
     held = [r for r in got if r.held_out]
     assert len(held) > 20 and sum(r.predicted == r.doc_id % 2 for r in held) / len(held) > 0.9
     assert isinstance(quality.learn(docs, lab, most_docs=40), quality.Attention)  # 20 documents of each label, none seen whole
+
+
+def test_long_grams_are_grams():
+    text = " -12 Ab, c  d😀漢字 éa!! zz  " * 7
+    for t in (text, "", "12", "a"):
+        for most in (1, 2, 5, 1000):
+            got = np.concatenate([np.zeros(0, np.uint64), *langid.long_grams(t, most)])
+            assert np.array_equal(got, langid.grams([t])[1])
+
+
+def test_languages_rare_many_or_long(spark):
+    rng = random.Random(17)
+    rows = [(i, prose(rng, "aa", 30), "aa", "s", 0) for i in range(40)]
+    rows += [(100 + i, prose(rng, "bb", 30_000), "bb", "s", 0) for i in range(4)]  # all over 200,000 bytes
+    assert all(len(r[1].encode()) > 200_000 for r in rows[40:])
+    rows += [(1000 + i, "漢字" + chr(0x4E00 + i) * 20, f"x{i}", "s", 0) for i in range(450) if zlib.crc32(str(1000 + i).encode()) % 4 != 2]  # one each
+    few = len({r[2] for r in rows})
+    rows += [(3000 + i, prose(rng, "cc", 20), f"y{i}", "s", 0) for i in range(120) if zlib.crc32(str(3000 + i).encode()) % 4 != 2]
+    assert few > 300 and len({r[2] for r in rows}) > 400
+    model = langid.learn(spark.createDataFrame(rows, SCHEMA))
+    assert set(model.langs) == {r[2] for r in rows}
+    assert model.predict([prose(rng, "bb", 40), prose(rng, "aa", 40)])[0] == ["bb", "aa"]

@@ -59,6 +59,19 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(row, np.arange(len(texts)), side="right"), code
 
 
+def long_grams(text: str, most: int = 1_000_000) -> Iterator[np.ndarray]:
+    """The codes that ``grams`` has for one text, made from ``most`` characters at a time."""
+    last = np.zeros(ORDER - 1, np.uint64)
+    for a in range(0, len(text), most):
+        char = letters()[np.frombuffer(text[a : a + most].encode("utf-32-le", "surrogatepass"), "<u4")].astype(np.uint64)
+        char = np.append(last, char[(char != 0) | (np.append(last[-1], char[:-1]) != 0)])
+        code = char[ORDER - 1 :].copy()
+        for k in range(1, ORDER):
+            code |= char[ORDER - 1 - k : len(char) - k] << np.uint64(16 * k)
+        last = char[1 - ORDER :]
+        yield code
+
+
 class Model:
     """Kneser-Ney probabilities of one language, interpolated down to single characters, as sorted arrays of hashes."""
 
@@ -129,25 +142,32 @@ class Identifier:
         """(characters, cross-entropy of each language in nats a character) of texts."""
         ends, codes = grams(texts)
         if self.keys is None:
-            self.keys, self.rows = np.zeros(1 << _SLOTS, np.uint64), np.zeros((1 << _SLOTS, len(self.models)), np.float32)
+            # fewer slots for many languages: 64 MB of values
+            self.slots = min(_SLOTS, max(8, 24 - (len(self.models) - 1).bit_length()))
+            self.keys, self.rows = np.zeros(1 << self.slots, np.uint64), np.zeros((1 << self.slots, len(self.models)), np.float32)
             self.rows[0] = [m.log_prob(np.zeros(1, np.uint64))[0] for m in self.models]
-        slot = (mixed(codes) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        n = np.diff(ends, prepend=0)
+        total = np.zeros((len(texts), len(self.models)))
+        row, step = np.repeat(np.arange(len(texts)), n), max(1024, (1 << 24) // len(self.models))
+        for a in range(0, len(codes), step):
+            own = row[a : a + step]
+            start = np.flatnonzero(np.diff(own, prepend=-1))
+            total[own[start]] += np.add.reduceat(self._values(codes[a : a + step]), start, axis=0, dtype=np.float64)
+        return n, -total / np.maximum(n, 1)[:, None]
+
+    def _values(self, codes: np.ndarray) -> np.ndarray:
+        slot = (mixed(codes) >> np.uint64(64 - self.slots)).astype(np.int64)
         slot[codes == 0] = 0
         value = self.rows[slot]
         miss = np.flatnonzero(self.keys[slot] != codes)
         if len(miss):
             new, at = np.unique(codes[miss], return_inverse=True)
-            got = np.stack([m.log_prob(new) for m in self.models], axis=1).astype(np.float32)
+            got = np.stack([m.log_prob(new).astype(np.float32) for m in self.models], axis=1)
             value[miss] = got[at]
             put = slot[miss]
             use = put != 0
             self.keys[put[use]], self.rows[put[use]] = codes[miss][use], value[miss][use]
-        n = np.diff(ends, prepend=0)
-        total = np.zeros((len(texts), len(self.models)))
-        some = np.flatnonzero(n)
-        if len(some):
-            total[some] = np.add.reduceat(value, (ends - n)[some], axis=0, dtype=np.float64)
-        return n, -total / np.maximum(n, 1)[:, None]
+        return value
 
     def calibrate(self, texts: list[str], langs: list[str], tail: float = 0.001) -> None:
         """Fits the scale of softmax(-scale * sqrt(characters) * entropy) to texts kept out of the models, by golden
@@ -201,47 +221,47 @@ def _parts(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]
         yield first, len(texts)
 
 
-def learn(docs: DataFrame, per_language: int = 2000, most_languages: int = 400, held_mod: int = 4, held: int = 2) -> Identifier:
-    """Models from at most ``per_language`` whole documents of each language, chosen by a hash of doc_id; a fifth of them
-    serves calibration only. The bound keeps what the driver gets - counts of 4-grams, and the calibration texts - from
-    growing with the table. Learned from are rows with doc_id, text and lang whose crc32(doc_id as text) modulo
-    ``held_mod`` is not ``held``. Of more than ``most_languages`` languages the most frequent are learned.
+def learn(docs: DataFrame, per_language: int = 2000, held_mod: int = 4, held: int = 2, most_calibrating: int = 200_000) -> Identifier:
+    """Models of all languages, each from at most ``per_language`` whole documents chosen by a hash of doc_id; a fifth of
+    them serves calibration only, but never a language's first, so each language has a model. Of a calibration text over
+    ``most_calibrating`` bytes a quarter as many characters serve, from a place drawn by a hash: these texts, and counts of
+    4-grams, are what the driver gets, and grow with the number of languages. Learned from are rows with doc_id, lang and a
+    letter in the text whose crc32(doc_id as text) modulo ``held_mod`` is not ``held``.
     """
-    fit = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text") <= 200_000) & (crc32_mod("doc_id", held_mod) != held)).select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["count"] for r in fit.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
+    fit = docs.where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull() & (crc32_mod("doc_id", held_mod) != held)).select("doc_id", "lang", "text")
     chance = F.xxhash64(F.lit(17), "doc_id")
     # of each language about four times the rows wanted are ranked, however common it is
-    likely = F.lit(False)
-    for x, n in counts.items():
-        likely = likely | ((F.col("lang") == x) & (chance < F.lit(min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, 4 * per_language / n)))).cast("long")))
-    ranked = fit.where(likely).select("lang", "doc_id").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(chance, "doc_id"))).where(F.col("k") <= per_language)
-    # at most per_language * most_languages ids
-    limits = ranked.groupBy("lang").agg(F.max(chance).alias("last")).collect()
-    bound = None
-    for r in limits:
-        own = (F.col("lang") == r["lang"]) & (chance <= F.lit(r["last"]).cast("long"))
-        bound = own if bound is None else bound | own
-    if bound is None:
+    share = F.lit(4.0 * per_language) / F.col("count")
+    likely = fit.join(F.broadcast(fit.groupBy("lang").count()), "lang").where((share >= 1) | (chance < (share * 2.0**64 - 2.0**63).cast("long")))
+    ranked = likely.select("lang", "doc_id").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(chance, "doc_id"))).where(F.col("k") <= per_language)
+    limits = ranked.groupBy("lang").agg(F.min(chance).alias("first"), F.max(chance).alias("last")).collect()
+    if not limits:
         return Identifier({})
-    chosen = fit.where(bound).groupBy("lang", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).withColumn("calibrates", F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(5)) == 0)
+    limits = docs.sparkSession.createDataFrame(limits, "lang string, first long, last long")
+    chosen = fit.join(F.broadcast(limits), "lang").where(chance <= F.col("last")).withColumn("calibrates", (F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(5)) == 0) & (chance != F.col("first")))
+    chosen = chosen.groupBy("lang", "doc_id", "calibrates").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, lang = batch.column(1).to_pylist(), np.array(batch.column(0).to_pylist(), object)
             for a, b in _parts(texts):
                 for x in sorted(set(lang[a:b])):
-                    codes, n = np.unique(grams([t for t, k in zip(texts[a:b], lang[a:b], strict=True) if k == x])[1], return_counts=True)
-                    yield pa.record_batch([pa.array([x] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(n)], names=["lang", "code", "n"])
+                    for part in long_grams(texts[a]) if b == a + 1 else [grams([t for t, k in zip(texts[a:b], lang[a:b], strict=True) if k == x])[1]]:
+                        codes, n = np.unique(part, return_counts=True)
+                        yield pa.record_batch([pa.array([x] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(n)], names=["lang", "code", "n"])
 
     counts = chosen.where(~F.col("calibrates")).select("lang", "text").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
-    lang, code, n = (counts.column(i).to_numpy() for i in range(3))
-    models = {}
-    for x in sorted(set(lang)):
-        own = lang == x
-        order = np.argsort(code[own].view(np.uint64))
-        models[x] = Model(code[own].view(np.uint64)[order], n[own][order])
+    named = counts.column(0).combine_chunks().dictionary_encode()
+    names = named.dictionary.to_pylist()
+    lang, code, n = named.indices.to_numpy(), counts.column(1).to_numpy().view(np.uint64), counts.column(2).to_numpy()
+    order = np.lexsort((code, lang))
+    ends = np.searchsorted(lang[order], np.arange(len(names) + 1))
+    models = {x: Model(code[own], n[own]) for i, x in enumerate(names) for own in [order[ends[i] : ends[i + 1]]]}
     out = Identifier(models)
-    rest = chosen.where("calibrates").select("lang", "text").orderBy("lang", "text").toArrow()
+    most = most_calibrating // 4
+    place = F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.greatest(F.lit(1), F.length("text") - most + 1)).cast("int") + 1
+    text = F.when(F.octet_length("text") > most_calibrating, F.substring("text", place, F.lit(most))).otherwise(F.col("text")).alias("text")
+    rest = chosen.where("calibrates").select("lang", text).orderBy("lang", "text").toArrow()
     texts, own = rest.column(1).to_pylist(), rest.column(0).to_pylist()
     out.calibrate(texts, own)
     return out
