@@ -78,3 +78,11 @@ def test_components_match_union_find(spark):
     with Scratch(spark) as scratch:
         got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long"), scratch).collect()}
     assert got == {a: find(a) for a in up}
+
+
+def test_long_tags_are_read(spark):
+    bad, long = "http://a.net/es/1", "x" * 20_000
+    rows = [(0, bad, None), (1, "http://b.org/1", f'<link data-x="{long}" rel="canonical" href="{bad}">'), (2, f"http://c.org/{long}", None)]
+    rows += [(3, bad, f'<meta http-equiv="refresh" content="0; url=http://c.org/{long}">'), (4, "http://d.org/1", f'<link rel="canonical" href="{bad}" ' + "<link " * 20_000)]
+    got = {r.page_id: r.verdict for r in judge(spark.createDataFrame(rows, SCHEMA), RULES).collect()}
+    assert got == {0: "block", 1: "block", 2: "block", 3: "block", 4: "allow"}

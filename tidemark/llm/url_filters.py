@@ -91,7 +91,8 @@ def _resolved(target: Column, base: Column) -> Column:
 
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(u, v): normal urls joined by a page's canonical link or immediate redirect (meta refresh). Null or plain html has none."""
-    tags = F.regexp_extract_all(F.col("html"), F.lit(r"(?is)(<(?:link|meta)\b[^>]{0,8000}>)"), F.lit(1))
+    # a tag without end is taken to the end of the page and dropped, so that it is read once
+    tags = F.filter(F.regexp_extract_all(F.col("html"), F.lit(r"(?is)(<(?:link|meta)\b[^>]*+(?:>|\z))"), F.lit(1)), lambda t: F.endswith(t, F.lit(">")))
     canonical = F.transform(F.filter(tags, lambda t: t.rlike(r"""(?is)^<link\b""") & F.lower(_attribute(t, "rel")).isin("canonical")), lambda t: _attribute(t, "href"))
     refresh = F.transform(
         F.filter(tags, lambda t: t.rlike(r"""(?is)^<meta\b""") & (F.lower(_attribute(t, "http-equiv")) == "refresh")),
