@@ -32,9 +32,40 @@ def test_topk_is_exact_over_blocks(spark, spread):
 def test_topk_stops_early_where_bounds_allow():
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.integers(-5, 5, (2000, 4)), rng.integers(400, 500, (10, 4))]).astype(float)
-    find = topk.search_block(4, np.arange(len(x)), x, x[::251], 5)
-    (_, ids, scores, _), = list(find(np.array([2005]), x[2005:2006]))
-    assert set(ids) < set(range(2000, 2010)) and list(scores) == sorted(scores, reverse=True)
+    find = topk.search_block(4, np.arange(len(x)), x, topk.chosen_pivots(x[::251], 4), 5)
+    (ids, scores, _, rest), = list(find(np.array([2005]), x[2005:2006], np.array([-np.inf])))
+    assert set(ids) < set(range(2000, 2010)) and list(scores) == sorted(scores, reverse=True) and rest == -np.inf
+    assert find.evaluated < 100
+
+
+def test_topk_evaluates_few_of_clustered_vectors():
+    rng = np.random.default_rng(3)
+    centre = rng.integers(-90, 90, (40, 32))
+    x = (centre[rng.integers(0, 40, 8000)] + rng.integers(-9, 9, (8000, 32))).astype(float)
+    pivot = topk.chosen_pivots(x[::17], 256)
+    assert len(pivot) == 28
+    q = x[::400]
+    least = np.sort(q @ x.T, axis=1)[:, -6]
+    for known, share in ((np.full(len(q), -np.inf), 0.05), (least, 0.02)):
+        find = topk.search_block(32, np.arange(len(x)), x, pivot, 5)
+        got = list(find(np.arange(0, 8000, 400), q, known))
+        for i, (ids, scores, *_) in enumerate(got):
+            true = q[i] @ x.T
+            true[400 * i] = -np.inf
+            assert scores.tolist() == np.sort(true)[::-1][:5].astype(int).tolist()
+        assert find.evaluated < share * len(q) * len(x)
+
+
+def test_bounds_of_all_pivots_hold():
+    rng = np.random.default_rng(4)
+    for scale in (1.0, 1e-8, 1e8):
+        x = rng.standard_normal((500, 16)) * scale
+        x[100:] = x[rng.integers(0, 100, 400)] + rng.standard_normal((400, 16)) * scale * 1e-7
+        for n in (0, 1, 5, 16):
+            find = topk.search_block(16, np.arange(500), x, topk.chosen_pivots(x, n), 500, True)
+            for i, (ids, _, key, rest) in enumerate(find(np.arange(9), x[:9], np.full(9, -np.inf))):
+                missed = np.setdiff1d(np.arange(500), np.append(ids, i))
+                assert (x[i] @ x[missed].T).max(initial=-np.inf) <= rest
 
 
 def test_topk_odd_rows(spark):
@@ -46,6 +77,15 @@ def test_topk_odd_rows(spark):
     assert topk.top_k(df.limit(0), F.col("id") % 50 == 0, 2).count() == 0
 
 
+def test_a_query_id_asks_once(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [2.0, 0.0]), (7, [3.0, 1.0]), (7, [3.0, 1.0]), (8, [4.0, 0.0]), (9, [1.0, 0.0])] + [(20, [0.0, 9.0])] * 30
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, F.col("id") == 0, 3, block_rows=2).collect())
+    assert got == [(0, 1, 8, 4), (0, 2, 7, 3), (0, 3, 7, 3)]
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in ann.nearest(df, F.col("id") == 0, 3, block_rows=2).collect())
+    assert got == [(0, 1, 9), (0, 2, 7), (0, 3, 7)]
+
+
 def test_ann_recall_and_scores(spark):
     for n in (600, 5000):
         x = vectors(n, 32, n)

@@ -15,10 +15,13 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or where that is unset (local tests) a folder of our own."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a folder of our own serves a local
+    master; a cluster must name one, since executors do not see the driver's folders."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = _own.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="tidemark-"))
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(found)
@@ -38,10 +41,17 @@ def small_batches(spark: SparkSession, size: str = "8m"):
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df``, computed and written to the shared folder; Spark's cleaner removes the files when nothing refers to them."""
+    """``df``, computed and written to the shared folder. This checkpoint, and no other of the session, is registered with
+    Spark's cleaner, which removes its files when nothing refers to them any longer."""
     shared_dir(df.sparkSession)
-    with small_batches(df.sparkSession):
-        return df.checkpoint()
+    conf, key = df.sparkSession.sparkContext._jsc.sc().conf(), "spark.cleaner.referenceTracking.cleanCheckpoints"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        with small_batches(df.sparkSession):
+            return df.checkpoint()
+    finally:
+        conf.set(key, before)
 
 
 class Scratch:
