@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import Scratch, kept
@@ -57,28 +57,58 @@ def targets(sources: DataFrame, cycle: tuple[float, ...], share: float, most: fl
     return known.select("source", "source_size", F.least(cap, F.col("weight") * F.lit(level)).cast("double").alias("target"))
 
 
-def tilts(docs: DataFrame, wanted: DataFrame, scratch: Scratch, tolerance: float = 1e-12, most_rounds: int = 60) -> DataFrame:
-    """Entropy balancing of document rates: the rates r nearest to 1 in relative entropy whose words meet each source's
-    target are r = exp(tilt of the source), where the tilts minimise the convex dual
+def _summed(x: Column, scale: float = 2.0**50) -> Column:
+    """The sum in fixed point, which does not depend on the order of rows as a floating one does: reruns agree to the last bit."""
+    return F.sum((x * scale).cast("decimal(38,0)")).cast("double") / scale
 
-        sum over documents of size * exp(tilt) - sum over sources of target * tilt.
 
-    Each Newton round is one distributed aggregate of the dual's gradient (words taken less target) and of its Hessian,
-    which is diagonal as a document has one source. A step is held to 1 so that it cannot overshoot; a target of 0 has
-    no finite tilt and gets rate 0, and so do sources without words. ``docs(source, size)``, ``wanted(source, target)``.
+def tilts(docs: DataFrame, wanted: DataFrame, most: float, scratch: Scratch, tolerance: float = 1e-9, most_rounds: int = 200) -> DataFrame:
+    """(source, tilt, mean): entropy balancing of document rates.
+
+    Of all rates 0 <= r <= ``most`` whose words meet each source's target, those nearest to 1 in relative entropy, the sum
+    over documents of r log r - r + 1. They are r = min(most, exp(tilt * size / mean)), where mean is the source's mean size and
+    the tilts minimise the convex dual
+
+        sum over documents of f(tilt * size / mean) - sum over sources of tilt * target / mean,  f' = min(most, exp).
+
+    So a source that is to grow repeats its long documents first, and one that is to shrink thins them first, each as
+    little as its target allows. A Newton round is one distributed aggregate over documents - those of one source and size
+    counted together - of the dual's gradient (words taken less target) and Hessian, which is diagonal as a document has
+    one source. The step is taken between the logarithms of words taken and target, where the curve is flatter, and a
+    bracket of each tilt, closed by the gradient's sign, holds it: a step that leaves it goes to its middle. Rounds end
+    when each source's words are within ``tolerance`` of its target. A target of 0 (or no words) has tilt null, and so has
+    one that asks for all there is; their rates are 0 and ``most``. ``docs(source, size, n)``, ``wanted(source, target)``.
     """
-    sums = docs.groupBy("source").agg(F.sum("size").cast("double").alias("words"))
-    state = scratch.table(wanted.join(sums, wanted.source.eqNullSafe(sums.source)).select(wanted.source, "target", "words", F.lit(0.0).alias("tilt")))
+    grouped = scratch.table(docs.where("size > 0").groupBy("source", "size").agg(F.sum("n").alias("n")))
+    sums = grouped.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("double").alias("words"), F.sum("n").alias("rows"), F.min("size").alias("low"))
+    known = wanted.withColumnRenamed("source", "_s").join(sums, F.col("_s").eqNullSafe(sums.source)).select("source", "target", "words", (F.col("words") / F.col("rows")).alias("mean"), F.col("low"))
+    free = (F.col("target") > 0) & (F.col("target") < F.col("words") * most * (1 - tolerance))
+    least = F.col("low") / F.col("mean")
+    ratio = F.log(F.col("target") / F.col("words"))
+    given = ["source", "target", "mean", "tilt", "lo", "hi"]
+    state = scratch.table(known.where(free).select("source", "target", "mean", F.lit(0.0).alias("tilt"), (F.least(ratio, F.lit(0.0)) / least).alias("lo"), (F.lit(math.log(most)) / least).alias("hi")))
+    met = []
     for _ in range(most_rounds):
-        taken = F.col("words") * F.exp("tilt")
-        gap = state.where("target > 0 and words > 0").agg(F.max(F.abs(taken - F.col("target")) / F.col("target"))).first()[0]
-        if gap is None or gap <= tolerance:
+        now = F.struct(*[F.col(f"now.{c}") for c in given]).alias("s")
+        both = grouped.alias("g").join(state.alias("now"), F.col("g.source").eqNullSafe(F.col("now.source"))).select(now, "size", "n")
+        x = F.col("size") / F.col("s.mean")
+        rate = F.least(F.lit(float(most)), F.exp(F.col("s.tilt") * x))
+        slope = F.when(rate < most, x * rate).otherwise(0.0)
+        made = both.groupBy("s").agg(_summed(F.col("n") * F.col("size") * rate).alias("taken"), _summed(F.col("n") * F.col("size") * slope).alias("slope")).select("s.*", "taken", "slope")
+        done = F.abs(F.col("taken") / F.col("target") - 1) <= tolerance
+        over = F.col("taken") > F.col("target")
+        lo, hi = F.when(over, F.col("lo")).otherwise(F.col("tilt")), F.when(over, F.col("tilt")).otherwise(F.col("hi"))
+        newton = F.col("tilt") - F.log(F.col("taken") / F.col("target")) * F.col("taken") / F.col("slope")
+        inside = (F.col("slope") > 0) & (newton > lo) & (newton < hi)
+        then = F.when(done, F.col("tilt")).when(inside, newton).otherwise((lo + hi) / 2)
+        seen = Observation()
+        round_ = scratch.table(made.select("source", "target", "mean", then.alias("tilt"), lo.alias("lo"), hi.alias("hi"), done.alias("met")).observe(seen, F.count_if(~F.col("met")).alias("open")))
+        met.append(round_.where("met").select("source", "tilt"))
+        state = round_.where("not met").select(*given)
+        if not seen.get.get("open"):
             break
-        step = F.when((F.col("target") > 0) & (F.col("words") > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("target") - taken) / taken))).otherwise(0.0)
-        then = scratch.table(state.withColumn("tilt", F.col("tilt") + step))
-        scratch.drop(state)
-        state = then
-    return state.select("source", F.when((F.col("target") > 0) & (F.col("words") > 0), F.exp("tilt")).otherwise(0.0).alias("rate"))
+    found = reduce(DataFrame.union, [*met, state.select("source", "tilt")])
+    return known.withColumnRenamed("source", "_k").join(found.withColumnRenamed("source", "_s"), F.col("_k").eqNullSafe(F.col("_s")), "left").select(F.col("_k").alias("source"), "tilt", "mean")
 
 
 def _rounded(most: int):
@@ -86,50 +116,60 @@ def _rounded(most: int):
         """Largest documents first; what a rounding gains or loses is carried to the next, so that only the smallest are in error."""
         frame = frame.sort_values(["size", "key", "doc_id"], ascending=[False, True, True], kind="stable")
         carry, copies = 0.0, []
-        for size, rate in zip(frame["size"].tolist(), frame["rate"].tolist(), strict=True):
-            want = size * rate + carry
-            n = min(most, max(0, math.floor(want / size + 0.5))) if size else 0
-            carry = want - n * size
-            copies.append(n)
-        return frame.assign(copies=copies)[["key", "doc_id", "size", "source_size", "target", "copies"]]
+        for size, rate, n in zip(frame["size"].tolist(), frame["rate"].tolist(), frame["n"].tolist(), strict=True):
+            want = n * size * rate + carry
+            own = min(most * n, max(0, math.floor(want / size + 0.5))) if size else 0
+            carry = want - own * size
+            copies.append(own)
+        return frame.assign(copies=copies)[["key", "doc_id", "size", "n", "source_size", "target", "rate", "copies"]]
 
     return run
 
 
+def planned(docs: DataFrame, cycle: tuple[float, ...], share: float, most: int) -> DataFrame:
+    """One row for all rows of one doc_id, text and source: key, doc_id, size, n (rows), source_size, target, rate, copies (of all n)."""
+    if most < 1:
+        raise ValueError("a document must be allowed at least once")
+    with Scratch(docs.sparkSession) as scratch:
+        sized = docs.select("doc_id", F.xxhash64("doc_id", "text", "source").alias("key"), "source", size_of(F.col("text")).alias("size"))
+        sized = scratch.table(sized.groupBy("doc_id", "key", "source", "size").agg(F.count("*").alias("n")))
+        per = scratch.table(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.ceil(F.count("*") / GROUP).cast("int").alias("groups")))
+        wanted = scratch.table(targets(per.select("source", "source_size"), cycle, share, most, scratch))
+        tilted = tilts(sized, wanted, most, scratch).withColumnRenamed("source", "_s")
+        known = per.join(wanted.select(F.col("source").alias("_w"), "target"), per.source.eqNullSafe(F.col("_w"))).join(tilted, per.source.eqNullSafe(F.col("_s")), "left")
+        known = scratch.table(known.select(F.col("source").alias("_k"), "source_size", "groups", "target", "tilt", "mean"))
+        rate = F.when((F.col("size") == 0) | (F.col("target") <= 0), 0.0).when(F.col("tilt").isNull(), float(most)).otherwise(F.least(F.lit(float(most)), F.exp(F.col("tilt") * F.col("size") / F.col("mean"))))
+        rows = sized.join(known, sized.source.eqNullSafe(F.col("_k"))).withColumn("rate", rate).withColumn("group", F.pmod(F.col("key"), F.col("groups").cast("long")))
+        id_type = docs.schema["doc_id"].dataType.simpleString()
+        done = rows.select("source", "group", "key", "doc_id", "size", "n", "rate", "source_size", "target").groupBy("source", "group")
+        return kept(done.applyInPandas(_rounded(most), f"key long, doc_id {id_type}, size long, n long, source_size long, target double, rate double, copies long"))
+
+
 def mix(docs: DataFrame, cycle: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
-    """``docs(doc_id, text, source)`` -> one row per row: doc_id, key, size, source_size, target, copies, taken.
+    """``docs(doc_id, text, source)`` -> one row per row: doc_id, key, size, source_size, target, rate, copies, taken.
 
     size counts words; targets are those of :func:`targets`, rates those of :func:`tilts`. Rates become whole copies,
     0 to ``most``, in groups of about ``GROUP`` documents of a source dealt by hash: within a group the largest documents
     are rounded first and each rounding's error is carried on, so a group ends within half a small document of its
-    words. taken = copies * size. The result depends only on the rows, so reruns agree; repeated rows are told apart by
-    nothing, and get copies one by one. key is a hash of the row's id and text.
+    words. taken = copies * size. The result depends only on the rows, so reruns agree. Rows repeated with one doc_id,
+    text and source are rounded together and share their copies evenly. key is a hash of these three.
 
     Null sources form one source, the last. Null texts have size 0 and are not taken; nor are texts without words.
     Other columns take no part.
     """
-    with Scratch(docs.sparkSession) as scratch:
-        sized = scratch.table(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "source", size_of(F.col("text")).alias("size")))
-        per = scratch.table(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.ceil(F.count("*") / GROUP).cast("int").alias("groups")))
-        wanted = scratch.table(targets(per.select("source", "source_size"), cycle, share, most, scratch))
-        rates = tilts(sized, wanted, scratch)
-        known = scratch.table(per.join(rates.withColumnRenamed("source", "_s"), per.source.eqNullSafe(F.col("_s"))).join(wanted.select(F.col("source").alias("_w"), "target"), per.source.eqNullSafe(F.col("_w"))).select("source", "source_size", "groups", "rate", "target"))
-        rows = sized.join(known.withColumnRenamed("source", "_k"), sized.source.eqNullSafe(F.col("_k")))
-        rows = rows.withColumn("group", F.pmod(F.col("key"), F.col("groups").cast("long")))
-        id_type = docs.schema["doc_id"].dataType.simpleString()
-        done = rows.select("source", "group", "key", "doc_id", "size", "rate", "source_size", "target").groupBy("source", "group").applyInPandas(_rounded(most), f"key long, doc_id {id_type}, size long, source_size long, target double, copies int")
-        return kept(done.withColumn("taken", F.col("copies") * F.col("size")))
+    each = planned(docs, cycle, share, most).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    copies = F.expr("int((copies * i) div n - (copies * (i - 1)) div n)")
+    return each.select("doc_id", "key", "size", "source_size", "target", "rate", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mix takes it."""
-    mixed = mix(docs).where("copies > 0")
-    # rows repeated with one id and text are interchangeable: their copies are added up and dealt to one of them
-    total = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.sum("copies").cast("int").alias("_n"))
-    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64("doc_id", "text").alias("_own"))
-    once = keyed.join(total, F.col("doc.doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key"))).dropDuplicates(["_id", "_key"])
+    """Every document as many times as the mix takes it. Of rows repeated with one doc_id, text and source one stands for all."""
+    total = planned(docs, (3, 1, 2), 1.5, 2).where("copies > 0").select(F.xxhash64("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("copies").cast("int").alias("_n"))
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64("doc_id").alias("_id"), F.xxhash64("doc_id", "text", "source").alias("_key"))
+    # keys without nulls: the join leaves rows dealt and sorted by them, so that repeated rows go without another shuffle
+    once = keyed.join(total, ["_id", "_key"]).dropDuplicates(["_id", "_key"])
     return once.select("doc", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")).select("doc.*")
