@@ -76,6 +76,53 @@ def test_large_group_in_several_blocks(spark, monkeypatch):
     assert sorted((r.doc_id, r.class_id, r.copies, r.links) for r in got.collect()) == brute(rows)
 
 
+def test_loosely_alike_texts_form_no_component(spark):
+    """A chain in which each text shares some two fifths of its n-grams with the next: bands collide, signatures tell them apart."""
+    import tidemark.llm.jaccard as m
+
+    rng = random.Random(5)
+    words = ["v%d" % i for i in range(60 * 200)]
+    rows = [(i, " ".join(words[60 * i : 60 * i + 140])) for i in range(150)]
+    shared = len(grams(rows[0][1]) & grams(rows[1][1])) / len(grams(rows[0][1]) | grams(rows[1][1]))
+    assert 0.35 < shared < 0.45
+    rng.shuffle(rows)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.class_id == r.doc_id and r.links == 0 for r in got)
+    # without signatures about every fifth pair of neighbours would be joined
+    sets = m.gram_sets([t for _, t in sorted(rows)], 5)
+    mult, add = m.stream(2, 120) | m.np.uint64(1), m.stream(3, 120)
+    sig = m.np.array([m.signature(g, mult, add) for g in sets]).reshape(150, 24, 5)
+    assert sum((sig[i] == sig[i + 1]).all(axis=1).any() for i in range(149)) > 10
+    assert (sig[1:] == sig[:-1]).sum(axis=(1, 2)).max() < m.least_agreeing(0.8, 120)
+
+
+def test_long_texts_make_more_blocks(spark, monkeypatch):
+    import tidemark.llm.jaccard as m
+
+    monkeypatch.setattr(m, "GRAMS", 5000)
+    rng = random.Random(6)
+    base = ["w%d" % i for i in range(3000)]
+    rows = []
+    for i in range(12):
+        w = list(base)
+        for _ in range(rng.randint(0, 60)):
+            w[rng.randrange(len(w))] = "z%d" % rng.randrange(10**6)
+        rows.append((i, " ".join(w)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.class_id, r.copies, r.links) for r in got.collect()) == brute(rows)
+
+
+def test_signatures_keep_pairs_at_the_threshold():
+    from math import comb
+
+    from tidemark.llm.jaccard import MISSED, least_agreeing
+
+    for t, n in ((0.8, 120), (0.5, 128), (1.0, 7)):
+        k = least_agreeing(t, n)
+        assert sum(comb(n, j) * t**j * (1 - t) ** (n - j) for j in range(k)) <= MISSED
+    assert least_agreeing(0.8, 120) > 0.6 * 120
+
+
 def test_odd_rows(spark):
     text = " ".join("w%d" % i for i in range(40))
     rows = [(1, text, None, None, None), (1, text, None, None, None), (None, text, "en", "s", 3), (2, None, None, None, None), (3, "", "", "", 0), (None, None, None, None, None)]

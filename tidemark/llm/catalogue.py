@@ -21,4 +21,4 @@ QUERIES = {
 }
 
 #: The others learn models, hash, tokenize or round with a carry: tests hold them against brute force.
-ORACLE_SQL = {"op2_url_filters": url_filters.SQL, "op3_exact_topk": topk.SQL, "op4_preference_chat": chat.SQL}
+ORACLE_SQL = {"op2_url_filters": url_filters.SQL, "op3_exact_topk": topk.SQL, "op4_preference_chat": chat.SQL, "op6_ngram_jaccard": jaccard.SQL}

@@ -16,8 +16,10 @@ from .common import Scratch, kept, mixed, stream
 from .components import components
 
 WORD = re.compile(r"\w+")
-#: Classes of a candidate component that a task holds on either side.
-BLOCK = 512
+#: Classes of a bucket or of a candidate component that a task holds on either side, and n-grams of those that it holds.
+BLOCK, GRAMS = 512, 2_000_000
+#: Probability that two texts exactly at the threshold are taken apart by their signatures.
+MISSED = 1e-5
 
 
 def banding(threshold: float, recall: float, most_hashes: int = 128) -> tuple[int, int]:
@@ -33,6 +35,16 @@ def banding(threshold: float, recall: float, most_hashes: int = 128) -> tuple[in
     return best
 
 
+def least_agreeing(threshold: float, hashes: int) -> int:
+    """The most of ``hashes`` minima that a pair at the threshold agrees in with a probability of 1 - MISSED."""
+    below = 0.0
+    for k in range(hashes + 1):
+        below += math.comb(hashes, k) * threshold**k * (1 - threshold) ** (hashes - k)
+        if below > MISSED:
+            return k
+    return hashes
+
+
 def gram_sets(texts: list[str], n: int) -> list[np.ndarray]:
     """For each text the sorted distinct 64-bit hashes of its n-grams of lower-cased words; shorter texts have one gram of all their words, and texts without words none."""
     words = [WORD.findall(t.lower()) for t in texts]
@@ -68,7 +80,8 @@ def _signed(bands: int, rows: int, n: int):
     mult, add = stream(2, bands * rows) | np.uint64(1), stream(3, bands * rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(doc_id, th, text) -> (doc_id, th, node, proof, bands); node and proof are digests of the gram set, null without grams."""
+        """(doc_id, th, text) -> (doc_id, th, node, proof, size, low, bands); node and proof are digests of the gram set, null
+        without grams, size is its number of grams and low the last byte of each minimum."""
         for batch in batches:
             texts = [t or "" for t in batch.column(2).to_pylist()]
             for i in range(0, len(texts), 256):
@@ -85,7 +98,43 @@ def _signed(bands: int, rows: int, n: int):
                 values = pa.array(key[~off].ravel().view(np.int64))
                 ends = np.concatenate([[0], np.cumsum(np.where(off, 0, bands))]).astype(np.int32)
                 part = batch.slice(i, len(sets))
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(node, mask=off), pa.array(proof, mask=off), pa.ListArray.from_arrays(pa.array(ends), values)], names=["doc_id", "th", "node", "proof", "bands"])
+                size, low = pa.array([len(g) for g in sets], pa.int64()), pa.array([r.tobytes() for r in sig.reshape(len(sets), -1).astype(np.uint8)], pa.binary())
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(node, mask=off), pa.array(proof, mask=off), size, low, pa.ListArray.from_arrays(pa.array(ends), values)], names=["doc_id", "th", "node", "proof", "size", "low", "bands"])
+
+    return run
+
+
+def _similar(least: int):
+    """(band, i, j, node, low), sorted by the first three -> (u, v): within each group a forest of the pairs whose signatures
+    agree in ``least`` places or more."""
+
+    def forest(nodes: list[int], low: list[bytes]) -> Iterator[tuple[int, int]]:
+        if len(nodes) < 2:
+            return
+        sig, left = np.frombuffer(b"".join(low), np.uint8).reshape(len(low), -1), np.arange(len(nodes))
+        while len(left) > 1:
+            front, left = [left[0]], left[1:]
+            while front and len(left):
+                at = front.pop()
+                near = (sig[left] == sig[at]).sum(axis=1) >= least
+                yield from ((nodes[at], nodes[k]) for k in left[near])
+                front.extend(left[near])
+                left = left[~near]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, low, u, v = None, [], [], [], []
+        for batch in batches:
+            for *now, node, sig in zip(*[batch.column(c).to_pylist() for c in range(5)], strict=True):
+                if now != key:
+                    for a, b in forest(nodes, low):
+                        u.append(a), v.append(b)
+                    key, nodes, low = now, [], []
+                nodes.append(node), low.append(sig)
+            yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            u, v = [], []
+        for a, b in forest(nodes, low):
+            u.append(a), v.append(b)
+        yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
 
@@ -174,6 +223,19 @@ def _verified(threshold: float, n: int):
     return run
 
 
+def _dealt(rows: DataFrame, group: str, *columns: str, both: bool = False) -> DataFrame:
+    """``rows(group, blocks, block, ...)`` dealt to (group, i, j), i <= j, for each pair of blocks of a group, so that any two
+    rows of a group meet; rows of block i and of block j have side 0 and 1. Pairs of a block with itself are left out
+    where there are others, unless ``both``."""
+    other = F.sequence(F.lit(0), F.col("blocks") - 1)
+    if not both:
+        other = F.filter(other, lambda o: (o != F.col("block")) | (F.col("blocks") == 1))
+    pairs = rows.withColumn("other", F.explode(other)).select(
+        group, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *([(F.col("block") > F.col("other")).cast("int").alias("side")] if both else []), *columns
+    )
+    return pairs.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j", *(["side"] if both else []))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, most_hashes: int = 128) -> DataFrame:
     """``docs(doc_id, text)`` -> one row per row: doc_id, th, class_id, copies, links, first.
 
@@ -182,10 +244,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall:
     copies the rows with the same set, links the other rows linked to this one (copies included), th a hash of the text
     and first whether the row's (doc_id, th) is the class's least.
 
-    MinHash bands are chosen by :func:`banding`. Each bucket links its members to its least one - a row per member,
-    never a row per pair - so every pair of a bucket falls into one candidate component. There all pairs are compared on
-    their full sets, in blocks of classes that are dealt out singly: block products count links without making rows
-    for them. Copies are one class from the start, whatever their number.
+    MinHash bands are chosen by :func:`banding`. Members of a bucket are candidates of each other if their signatures - all
+    minima, of a byte each - agree about as far as the threshold asks (:func:`least_agreeing`), so texts that share a band
+    by chance form no chains. Buckets are split into blocks of members and a task gets a pair of blocks; it tells a forest
+    of the candidate pairs. In each component of these all pairs are compared on their full sets, in blocks of classes
+    that are dealt out in pairs: block products count links without making rows for them. A block holds about ``BLOCK``
+    classes or ``GRAMS`` n-grams, so long texts make more blocks. Copies are one class from the start, whatever their number.
 
     Texts without words (null, empty, punctuation) have no set: they link with nothing, and each is its own class with
     class_id = doc_id. A null doc_id counts as the least. Rows repeated with the same doc_id and text count as copies.
@@ -196,23 +260,24 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall:
     mine = docs.select(F.col("doc_id"), F.xxhash64("text").alias("th"), F.col("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     with Scratch(spark) as scratch:
-        signed = scratch.table(mine.mapInArrow(_signed(bands, rows, n), f"doc_id {id_type}, th long, node long, proof long, bands array<long>"))
+        signed = scratch.table(mine.mapInArrow(_signed(bands, rows, n), f"doc_id {id_type}, th long, node long, proof long, size long, low binary, bands array<long>"))
         some = signed.where("node is not null")
         posted = some.select("node", F.explode("bands").alias("band"))
-        heads = scratch.table(posted.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("band", "head"))
-        stars = posted.join(heads, "band").where("node > head").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct()
-        near = scratch.table(components(stars, scratch))
-
-        classes = scratch.table(some.groupBy("node", "proof").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th")).alias("rep")))
-        sizes = near.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        cand = classes.join(near, "node").join(sizes, "component")
-        cand = scratch.table(cand.select("component", "blocks", F.pmod(F.xxhash64("node", "proof"), F.col("blocks")).cast("int").alias("block"), "node", "copies", F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th")))
-        # candidates grow with the corpus, so their texts are found by a merge join at every size
-        texts = mine.join(cand.hint("merge"), mine.doc_id.eqNullSafe(cand.doc_id) & (mine.th == cand.th)).select("component", "blocks", "block", "node", "copies", "text")
-        pairs = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-            "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "copies", "text"
-        )
-        dealt = pairs.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "side")
+        heads = scratch.table(posted.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("band"))
+        members = scratch.table(posted.join(heads, "band").select("band", "node").distinct())
+        split = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        lows = some.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("low").alias("low"))
+        placed = members.join(split, "band").join(lows, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        near = scratch.table(components(_dealt(placed, "band", "node", "low").mapInArrow(_similar(least_agreeing(threshold, bands * rows)), "u long, v long"), scratch))
+
+        classes = scratch.table(some.groupBy("node", "proof").agg(F.count("*").alias("copies"), F.max("size").alias("size"), F.min(F.struct("doc_id", "th")).alias("rep")))
+        cand = classes.join(near, "node")
+        sizes = cand.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / GRAMS)).cast("int").alias("blocks"))
+        cand = scratch.table(cand.join(sizes, "component").select("component", "blocks", F.pmod(F.xxhash64("node", "proof"), F.col("blocks")).cast("int").alias("block"), "node", "copies", F.xxhash64("rep.doc_id").alias("_id"), F.col("rep.th").alias("_th")))
+        # candidates grow with the corpus, so their texts are found by a merge join at every size; it leaves rows dealt and
+        # sorted by keys without nulls, so repeated rows go without another shuffle
+        texts = mine.select(F.xxhash64("doc_id").alias("_id"), F.col("th").alias("_th"), "text").join(cand.hint("merge"), ["_id", "_th"]).dropDuplicates(["_id", "_th"])
+        dealt = _dealt(texts, "component", "node", "copies", "text", both=True)
         found = scratch.table(dealt.mapInArrow(_verified(threshold, n), "u long, v long, links long"))
 
         links = found.where("links is not null").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
@@ -231,8 +296,29 @@ def op6_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: the one with the least doc_id. Of rows repeated whole, one stays."""
-    marks = near_duplicates(docs).where("first").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
-    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64("text").alias("_th"))
-    stay = keyed.join(marks.withColumnRenamed("_th", "_mark"), F.col("doc.doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_mark")))
-    return stay.dropDuplicates(["_id", "_th"]).select("doc.*")
+    """One document of each class stays: the one with the least doc_id. Of rows repeated with one doc_id and text, one stays."""
+    marks = near_duplicates(docs).where("first").select(F.xxhash64("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64("doc_id").alias("_id"), F.xxhash64("text").alias("_th"))
+    # keys without nulls: the join leaves rows dealt and sorted by them, so that repeated rows go without another shuffle
+    return keyed.join(marks, ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select("doc.*")
+
+
+SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') as w from documents
+), places as (
+  select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from words where len(w) > 0
+), grams as (
+  select distinct doc_id, case when len(w) >= 5 then array_to_string(w[i:i + 4], ' ') else array_to_string(w, ' ') end as g from places
+), sizes as (select doc_id, count(*) as n from grams group by doc_id),
+met as (
+  select a.doc_id as u, b.doc_id as v, count(*) as both from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id group by all
+), links as (
+  select u, v, both = a.n and both = b.n as same from met join sizes a on a.doc_id = u join sizes b on b.doc_id = v where both >= 0.8 * (a.n + b.n - both) - 1e-9
+), reach(u, v) as (
+  select u, v from links union select r.u, l.v from reach r join links l on l.u = r.v
+), classes as (select u, least(u, min(v)) as class_id from reach group by u),
+counts as (select u, count(*) as links, count(*) filter (same) as copies from links group by u)
+select d.doc_id, coalesce(c.class_id, d.doc_id) as class_id, coalesce(n.copies, 0) + 1 as copies, coalesce(n.links, 0) as links
+from documents d left join classes c on c.u = d.doc_id left join counts n on n.u = d.doc_id
+"""
