@@ -312,9 +312,9 @@ with recursive words as (
   select distinct doc_id, case when len(w) >= 5 then array_to_string(w[i:i + 4], ' ') else array_to_string(w, ' ') end as g from places
 ), sizes as (select doc_id, count(*) as n from grams group by doc_id),
 met as (
-  select a.doc_id as u, b.doc_id as v, count(*) as both from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id group by all
+  select a.doc_id as u, b.doc_id as v, count(*) as shared from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id group by all
 ), links as (
-  select u, v, both = a.n and both = b.n as same from met join sizes a on a.doc_id = u join sizes b on b.doc_id = v where both >= 0.8 * (a.n + b.n - both) - 1e-9
+  select u, v, (shared = a.n and shared = b.n) as same from met join sizes a on a.doc_id = u join sizes b on b.doc_id = v where shared >= 0.8 * (a.n + b.n - shared) - 1e-9
 ), reach(u, v) as (
   select u, v from links union select r.u, l.v from reach r join links l on l.u = r.v
 ), classes as (select u, least(u, min(v)) as class_id from reach group by u),
