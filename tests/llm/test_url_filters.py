@@ -86,3 +86,35 @@ def test_long_tags_are_read(spark):
     rows += [(3, bad, f'<meta http-equiv="refresh" content="0; url=http://c.org/{long}">'), (4, "http://d.org/1", f'<link rel="canonical" href="{bad}" ' + "<link " * 20_000)]
     got = {r.page_id: r.verdict for r in judge(spark.createDataFrame(rows, SCHEMA), RULES).collect()}
     assert got == {0: "block", 1: "block", 2: "block", 3: "block", 4: "allow"}
+
+
+def test_links_are_resolved(spark):
+    from urllib.parse import urljoin
+
+    from tidemark.llm.url_filters import alias_edges
+
+    page = "http://Site.org/a/b/c.html?x=1#f"
+    links = ["d", "./d", "../d", "../../d", "../../../d", "/x/./y/../z", "?q=1", "//o.net/p", "https://o.net/p/../q?u=/../v", "d/..", "d/.", "..", ".", "g;x=1/../y", "d?y=../z"]
+    strange = ["", "#top", "mailto:a@b.org", "javascript:void(0)"]
+    escaped = {"/p?a=1&amp;b=2": "/p?a=1&b=2", "/p?a=1&#38;b=2": "/p?a=1&b=2", "/&#x2603;&#X1F600;": "/\u2603\U0001f600", "/&amp;lt;": "/&lt;", "/&nbsp;&": "/&nbsp;&", "/&#xD800;&#0;": "/&"}
+    rows = [(i, page, f'<link rel="canonical" href="{x}">') for i, x in enumerate([*links, *strange, *escaped])]
+    want = {(i, urljoin("http://site.org/a/b/c.html?x=1", x).replace("/p/../q", "/q")) for i, x in enumerate(links)} | {(len(links) + len(strange) + i, "http://site.org" + x) for i, x in enumerate(escaped.values())}
+    own = "http://site.org/a/b/c.html?x=1"
+    # a query of its own tells the pages apart
+    rows = [(i, u.replace("?x=1", f"?x={i}"), h) for i, u, h in rows]
+    got = {r.u: r.v for r in alias_edges(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {own.replace("?x=1", f"?x={i}"): v for i, v in want}
+
+
+def test_tags_of_many_forms(spark):
+    from tidemark.llm.url_filters import alias_edges
+
+    html = [
+        '<link rel="alternate Canonical" href="x">',
+        "<base target=_top><BASE HREF='http://o.net/deep/'><base href='http://no.net/'><link href=x rel=canonical>",
+        '<base href="/up/"><link rel="canonical" href="x">',
+        '<meta http-equiv=" refresh" content="0;URL=\'x\'">',
+        '<link rel="canonical-not" href="x"><link rel="stylesheet" href="canonical">',
+    ]
+    got = {r.u: r.v for r in alias_edges(spark.createDataFrame([(i, f"http://s.org/{i}/", h) for i, h in enumerate(html)], SCHEMA)).collect()}
+    assert got == {"http://s.org/0/": "http://s.org/0/x", "http://s.org/1/": "http://o.net/deep/x", "http://s.org/2/": "http://s.org/up/x", "http://s.org/3/": "http://s.org/3/x"}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``edges(u, v)`` of any orderable type -> ``(node, component)`` for each node of an edge; a component is named by its least node.
 
     Null ends and loops are ignored. Each half round is one aggregation to the least neighbour, which combines before
@@ -30,7 +30,7 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
 
     now = scratch.table(edges.select("u", "v").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     before = None
-    for _ in range(most_rounds):
+    while True:
         then = star(star(now, True), False)
         after = state(then)
         scratch.drop(now)
@@ -38,6 +38,4 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v")).distinct()

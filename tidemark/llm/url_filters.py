@@ -64,47 +64,83 @@ def _attribute(tag: Column, name: str) -> Column:
 
 
 def _unescaped(x: Column) -> Column:
-    return F.replace(x, F.lit("&amp;"), F.lit("&"))
+    """``x`` with numeric character references and those of ``& < > " '`` undone, each once."""
+    named = F.create_map(*[F.lit(y) for pair in {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}.items() for y in pair])
+
+    def part(y: Column, i: Column) -> Column:
+        name = F.regexp_extract(y, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|amp|lt|gt|quot|apos);", 1)
+        after = F.substring(y, F.length(name) + 2, F.length(y))
+        code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).when(F.startswith(name, F.lit("#")), F.substring(name, 2, 7)).cast("int")
+        known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.when(known, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).when(code.isNull(), F.try_element_at(named, name))
+        return F.when(i == 0, y).when(char.isNotNull(), F.concat(char, after)).otherwise(F.concat(F.lit("&"), y))
+
+    return F.when(F.contains(x, F.lit("&")), F.array_join(F.transform(F.split(x, "&", -1), part), "")).otherwise(x)
+
+
+def _without_dots(rest: Column) -> Column:
+    """Path and query with the path's ``.`` and ``..`` segments resolved; ``rest`` starts with ``/``."""
+    path = F.regexp_extract(rest, r"(?s)^([^?]*)", 1)
+    names = F.split(path, "/", -1)
+    names = F.slice(names, F.lit(2), F.size(names))
+    up = lambda done: F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+    kept_ = F.aggregate(names, F.array().cast("array<string>"), lambda done, x: F.when(x == ".", done).when(x == "..", up(done)).otherwise(F.concat(done, F.array(x))))
+    folder = F.element_at(names, -1).isin(".", "..") & (F.size(kept_) > 0)
+    plain = F.concat(F.lit("/"), F.array_join(kept_, "/"), F.when(folder, "/").otherwise(""), F.substring(rest, F.length(path) + 1, F.length(rest)))
+    return F.when(F.contains(path, F.lit("/.")), plain).otherwise(rest)
 
 
 def normal_url(url: Column) -> Column:
-    """The name of a url in the alias graph: without fragment, scheme and host lower-cased, an empty path as ``/``; null without ``://``."""
+    """The name of a url in the alias graph: without fragment, scheme and host lower-cased, an empty path as ``/``, dot segments resolved; null without ``://``."""
     bare = F.regexp_replace(url, r"(?s)#.*$", "")
     scheme = F.lower(F.regexp_extract(bare, r"(?s)^(.*?)://", 1))
     rest = F.regexp_extract(bare, r"(?s)^.*?://[^/?#]*(.*)$", 1)
-    return F.when(F.contains(bare, F.lit("://")), F.concat(scheme, F.lit("://"), host_of(bare), F.when(F.startswith(rest, F.lit("/")), rest).otherwise(F.concat(F.lit("/"), rest))))
+    rest = F.when(F.startswith(rest, F.lit("/")), rest).otherwise(F.concat(F.lit("/"), rest))
+    return F.when(F.contains(bare, F.lit("://")), F.concat(scheme, F.lit("://"), host_of(bare), _without_dots(rest)))
 
 
 def _resolved(target: Column, base: Column) -> Column:
-    """An absolute url of a link found on page ``base``; null for an empty link or a base without ``://``."""
+    """The url that a link on a page at ``base`` leads to (RFC 3986, 5.2, dot segments aside); null for an empty link, a
+    mere fragment, another scheme without ``//`` or a base without ``://``."""
     scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
     site = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    page = F.regexp_extract(base, r"(?s)^(.*?://[^?#]*)", 1)
     folder = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)", 1)
     return (
-        F.when(target == "", None)
+        F.when((target == "") | F.startswith(target, F.lit("#")) | ~F.contains(base, F.lit("://")), None)
         .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), target)
         .when(F.startswith(target, F.lit("//")), F.concat(scheme, F.lit(":"), target))
         .when(F.startswith(target, F.lit("/")), F.concat(site, target))
+        .when(F.startswith(target, F.lit("?")), F.concat(page, target))
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), None)
         .otherwise(F.concat(F.when(F.endswith(folder, F.lit("/")), folder).otherwise(F.concat(folder, F.lit("/"))), target))
     )
 
 
+def _once(df: DataFrame, *columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once: what a generator makes is not written out again in each place that uses it."""
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(u, v): normal urls joined by a page's canonical link or immediate redirect (meta refresh). Null or plain html has none."""
+    """(u, v): normal urls joined by a page's canonical link or immediate redirect (meta refresh), resolved against the
+    page's url, or its first ``<base>``. Null or plain html has none."""
     # a tag without end is taken to the end of the page and dropped, so that it is read once
-    tags = F.filter(F.regexp_extract_all(F.col("html"), F.lit(r"(?is)(<(?:link|meta)\b[^>]*+(?:>|\z))"), F.lit(1)), lambda t: F.endswith(t, F.lit(">")))
-    canonical = F.transform(F.filter(tags, lambda t: t.rlike(r"""(?is)^<link\b""") & F.lower(_attribute(t, "rel")).isin("canonical")), lambda t: _attribute(t, "href"))
+    tags = F.filter(F.regexp_extract_all(F.col("html"), F.lit(r"(?is)(<(?:link|meta|base)\b[^>]*+(?:>|\z))"), F.lit(1)), lambda t: F.endswith(t, F.lit(">")))
+    of = lambda kind: F.filter(F.col("tags"), lambda t: t.rlike(rf"(?i)^<{kind}\b"))
+    is_canonical = lambda t: F.array_contains(F.split(F.lower(_attribute(t, "rel")), r"\s+"), "canonical")
+    canonical = F.transform(F.filter(of("link"), is_canonical), lambda t: _attribute(t, "href"))
     refresh = F.transform(
-        F.filter(tags, lambda t: t.rlike(r"""(?is)^<meta\b""") & (F.lower(_attribute(t, "http-equiv")) == "refresh")),
+        F.filter(of("meta"), lambda t: F.lower(_attribute(t, "http-equiv")) == "refresh"),
         lambda t: F.trim(F.regexp_extract(_attribute(t, "content"), r"(?is)^\s*[\d.]+\s*[;,]\s*url\s*=\s*['\"]?([^'\"]*)", 1)),
     )
-    return (
-        pages.select(F.col(url).alias("url"), F.col(html).alias("html"))
-        .where(F.col("url").isNotNull() & F.col("html").rlike(r"(?i)canonical|http-equiv\s*=\s*[\"']?refresh"))
-        .select("url", F.explode(F.concat(canonical, refresh)).alias("target"))
-        .select(normal_url(F.col("url")).alias("u"), normal_url(_resolved(_unescaped(F.col("target")), F.col("url"))).alias("v"))
-        .where("u is not null and v is not null and u <> v")
-    )
+    base = F.get(F.filter(F.transform(of("base"), lambda t: _attribute(t, "href")), lambda h: h != ""), F.lit(0))
+    found = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).where(F.col("url").isNotNull() & F.col("html").rlike(r"(?i)canonical|http-equiv\s*=\s*[\"']?\s*refresh"))
+    found = _once(found.select("url", tags.alias("tags")), F.concat(canonical, refresh).alias("targets"), base.alias("base"))
+    found = _once(found.select("url", "base", F.explode("targets").alias("target")), _unescaped(F.col("target")).alias("to"), _unescaped(F.col("base")).alias("from"))
+    found = _once(found, F.coalesce(_resolved(F.col("from"), F.col("url")), F.col("url")).alias("page"))
+    found = _once(found, _resolved(F.col("to"), F.col("page")).alias("link"))
+    return _once(found, normal_url(F.col("url")).alias("u"), normal_url(F.col("link")).alias("v")).select("u", "v").where("u is not null and v is not null and u <> v")
 
 
 def judge(pages: DataFrame, rules: list[Rule], id_column: str = "page_id", url: str = "url", html: str | None = "html", redirects: DataFrame | None = None) -> DataFrame:
