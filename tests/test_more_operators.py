@@ -82,9 +82,21 @@ def test_descriptions(spark):
     assert describe.pivot_index(df.withColumn("arm", F.when(F.col("id") % 2 == 0, "x").otherwise("y2")), F.year("day"), "arm", ["x", "y2"], "a", 1900).where("index_x is not null").count() == 0
 
 
-def test_large_series_goes_by_buckets(spark, monkeypatch):
-    series = spark.createDataFrame([(date(2020, 1, 1) + timedelta(days=9 * i), float(i)) for i in range(40)], "at date, v double")
-    left = spark.createDataFrame([(i, date(2019, 12, 25) + timedelta(days=i)) for i in range(300)], "i int, d date")
-    small = {r.i: r.v for r in temporal.asof_series(left, series, "d", "at", ["v"]).collect()}
-    monkeypatch.setattr(temporal, "BROADCAST_ROWS", 5)
-    assert {r.i: r.v for r in temporal.asof_series(left, series, "d", "at", ["v"]).collect()} == small and small[0] is None and small[299] is not None
+def test_series_joined_by_month_agrees_with_a_walk(spark):
+    for step in (1, 9, 45, 400):
+        series = [(date(2020, 1, 1) + timedelta(days=step * i), float(i)) for i in range(12)]
+        left = [(i, date(2019, 12, 25) + timedelta(days=7 * i)) for i in range(300)] + [(900, None)]
+        got = temporal.asof_series(spark.createDataFrame(left, "i int, d date"), spark.createDataFrame(series, "at date, v double"), "d", "at", ["v"])
+        assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+        want = {i: max(((t, v) for t, v in series if d is not None and t <= d), default=(None, None))[1] for i, d in left}
+        assert sorted((r.i, str(r.v)) for r in got.collect()) == sorted((i, str(v)) for i, v in want.items())
+    none = temporal.asof_series(spark.createDataFrame(left, "i int, d date"), spark.createDataFrame([], "at date, v double"), "d", "at", ["v"])
+    assert none.count() == 301 and none.where("v is not null").count() == 0
+
+
+def test_stop_tail_splits_a_heavy_last_date(spark):
+    from tidemark.operators import models
+
+    df = spark.range(4000).select("id", F.when(F.col("id") < 200, F.lit("2020-01-01")).otherwise("2020-02-01").cast("date").alias("day"))
+    assert df.where(models.early_stop_tail(df, "day")).count() == 0
+    assert 300 < df.where(models.early_stop_tail(df, "day", 0.1, "id")).count() < 500

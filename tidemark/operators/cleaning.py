@@ -81,8 +81,21 @@ def residential(df: DataFrame, area: str = "area_sqm", b: Bounds = Bounds()) ->
     return df.where(inside), df.agg(F.count("*").alias("rows_in"), F.count_if(inside).alias("rows_out"), F.count_if(~inside).alias("dropped"))
 
 
-#: Columns that tell the target, so no model may read them.
-FORBIDDEN_FEATURES = ("purchase_price", "unit_price", "log_unit_price", "price_per_sqm", "settlement_date", "development_type")
+# Columns that tell the target, are known only later, or name the row; no model may read them.
+FORBIDDEN_FEATURES = (
+    "purchase_price",
+    "settlement_date",
+    "download_date",
+    "property_id",
+    "legal_description",
+    "address",
+    "price_per_sqm",
+    "cash_rate",
+    "cpi",
+    "development_type",
+    "unit_price",
+    "log_unit_price",
+)
 
 
 def contract(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
@@ -133,10 +146,10 @@ def areas_per_group_contract(df: DataFrame, group: str = "group_key", area: str
 
 
 def check_features(columns: list[str]) -> None:
-    """ValueError if a feature list holds a column that tells the target."""
+    """ValueError if a feature list holds a forbidden column."""
     bad = sorted(set(columns) & set(FORBIDDEN_FEATURES))
     if bad:
-        raise ValueError(f"features that tell the target: {bad}")
+        raise ValueError(f"forbidden features: {bad}")
 
 
 def coverage(df: DataFrame, postcode: str = "post_code", group: str = "group_key") -> DataFrame:

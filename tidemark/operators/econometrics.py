@@ -50,7 +50,7 @@ def chi2_sf(x: float, k: int) -> float:
     return front * h
 
 
-def demean(df: DataFrame, columns: list[str], unit: str, time: str | None = None, most_times: int = 20_000) -> DataFrame:
+def demean(df: DataFrame, columns: list[str], unit: str, time: str | None = None, most_times: int = 4_000) -> DataFrame:
     """``df`` with ``columns`` freed of unit and time effects (null rows must be gone before).
 
     The normal equations collapse to the times: with cell counts n(unit, time), the time effects solve a system as wide as
@@ -290,13 +290,12 @@ def placebo_shifted(panel: DataFrame, y: str, shift: int, window: int = 12, **ho
 
 
 def placebo_random(panel: DataFrame, y: str, draws: int, seed: int, unit: str = "post_code", **how) -> list[EventStudy]:
-    """Arms dealt at random in the true proportion. Each draw is a seeded order of the units, which are one row each."""
-    units = sorted(r[0] for r in panel.groupBy(unit).agg(F.max("treated")).collect())
-    treated = panel.where("treated = 1").select(unit).distinct().count()
-    rng, out = np.random.default_rng(seed), []
-    for _ in range(draws):
-        own = [units[i] for i in rng.permutation(len(units))[:treated]]
-        out.append(event_study(panel.withColumn("treated", F.col(unit).isin(own).cast("int")), y, unit, **how))
+    """Arms dealt at random, as many units as in truth: in each draw those first by a seeded hash, found and joined as a table."""
+    units, treated = panel.select(unit).distinct(), panel.where("treated = 1").select(unit).distinct().count()
+    out = []
+    for i in range(draws):
+        arm = units.orderBy(F.xxhash64(F.lit(seed), F.lit(i), unit), unit).limit(treated).withColumn("_in", F.lit(1))
+        out.append(event_study(panel.drop("treated").join(arm, unit, "left").withColumn("treated", F.coalesce("_in", F.lit(0))).drop("_in"), y, unit, **how))
     return out
 
 
@@ -326,7 +325,7 @@ def correlation(n, sx, sy, sxx, syy, sxy):
         return np.where((vx > 0) & (vy > 0), (n * sxy - sx * sy) / np.sqrt(np.maximum(vx * vy, 1e-300)), np.nan)
 
 
-def bootstrap_ci(df: DataFrame, x: str, y: str, cluster: str, draws: int = 300, seed: int = 36103, level: float = 0.95) -> DataFrame:
+def bootstrap_ci(df: DataFrame, x: str, y: str, cluster: str, draws: int = 300, seed: int = 17, level: float = 0.95) -> DataFrame:
     """Interval of Pearson's correlation over ``draws`` resamples of whole clusters: one row estimate, low, high, std, draws,
     clusters. How often a draw takes a cluster is a Poisson number hashed from (seed, draw, cluster), which stands for
     drawing with replacement; so all draws are one distributed aggregate of the clusters' sums - weighted sums equal
@@ -348,7 +347,7 @@ def bootstrap_ci(df: DataFrame, x: str, y: str, cluster: str, draws: int = 300,
     return df.sparkSession.createDataFrame([tuple(row)], "estimate double, low double, high double, std double, draws int, clusters long")
 
 
-def ratio_placebo(df: DataFrame, log_area: str, log_price: str, key: str, draws: int = 200, seed: int = 36103) -> DataFrame:
+def ratio_placebo(df: DataFrame, log_area: str, log_price: str, key: str, draws: int = 200, seed: int = 17) -> DataFrame:
     """Correlation of log area with log unit price, true (draw 0) and with prices dealt anew: draw, correlation. A permutation
     pairs the place of a row in one hashed order with its place in another. Ranks within hash ranges pair rows in many
     tasks; rows beyond the shorter side of a range pair in a last range of their own."""

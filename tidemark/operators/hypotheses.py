@@ -20,7 +20,7 @@ def logs(df: DataFrame, price: str = "purchase_price", area: str = "area_sqm") -
     return df.withColumns({"log_price": safe_log10(F.col(price)), "log_area": safe_log10(F.col(area))})
 
 
-def spearman_bootstrap(df: DataFrame, x: str, y: str, cluster: str, draws: int = 300, seed: int = 36103) -> DataFrame:
+def spearman_bootstrap(df: DataFrame, x: str, y: str, cluster: str, draws: int = 300, seed: int = 17) -> DataFrame:
     """Interval of Spearman's correlation over resamples of whole clusters. Mean ranks are those in the full table; draws
     reweight them and do not rank anew, which would need the table once per draw. So this is an approximation."""
     fine = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(cluster, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
@@ -36,7 +36,7 @@ class AreaPrice:
     sign_flips: bool
 
 
-def area_price(df: DataFrame, cluster: str = "post_code", day: str = "contract_date", draws: int = 300, least_year: int = 500, seed: int = 36103) -> AreaPrice:
+def area_price(df: DataFrame, cluster: str = "post_code", day: str = "contract_date", draws: int = 300, least_year: int = 500, seed: int = 17) -> AreaPrice:
     """Raw, rank and log correlations of area and price with cluster intervals; the log correlation by year; the elasticity
     within places and years; and whether the two signs differ. ``df`` has purchase_price and area_sqm."""
     both = logs(df).where("log_price is not null and log_area is not null")

@@ -76,7 +76,7 @@ def _vectors(df: DataFrame, names: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="_features").transform(df)
 
 
-def random_forest(train: DataFrame, names: list[str], target: str, trees: int = 200, depth: int = 20, leaf: int = 20, share: float = 0.4, seed: int = 36103):
+def random_forest(train: DataFrame, names: list[str], target: str, trees: int = 200, depth: int = 20, leaf: int = 20, share: float = 0.4, seed: int = 17):
     """A function from rows to rows with a prediction. Spark's forest splits on histogram bins, so its values differ from
     exact-split forests."""
     from pyspark.ml.regression import RandomForestRegressor
@@ -85,23 +85,30 @@ def random_forest(train: DataFrame, names: list[str], target: str, trees: int =
     return lambda df: model.transform(_vectors(df, names)).drop("_features"), dict(zip(names, model.featureImportances.toArray().tolist(), strict=True))
 
 
-def gradient_boosting(train: DataFrame, names: list[str], target: str, day: str, key: str, rounds: int = 600, rate: float = 0.05, depth: int = 8, tail: float = 0.1, seed: int = 36103):
+def gradient_boosting(train: DataFrame, names: list[str], target: str, day: str, key: str, rounds: int = 600, rate: float = 0.05, depth: int = 8, tail: float = 0.1, seed: int = 17):
     """Boosted trees, stopped early on the last tenth of the training rows in the order of date and key."""
     from pyspark.ml.regression import GBTRegressor
 
-    marked = train.withColumn("_stop", early_stop_tail(train, day, tail))
+    marked = train.withColumn("_stop", early_stop_tail(train, day, tail, key))
     model = GBTRegressor(featuresCol="_features", labelCol=target, maxIter=rounds, stepSize=rate, maxDepth=depth, validationIndicatorCol="_stop", seed=seed).fit(_vectors(marked, names))
     return lambda df: model.transform(_vectors(df, names)).drop("_features"), dict(zip(names, model.featureImportances.toArray().tolist(), strict=True))
 
 
-def early_stop_tail(train: DataFrame, day: str, tail: float = 0.1):
-    """True for rows of the last dates: those after the date at which ``1 - tail`` of the rows are reached, by counts per date."""
+def early_stop_tail(train: DataFrame, day: str, tail: float = 0.1, key: str | None = None):
+    """True for the last ``tail`` of the rows by date: those after the date at which ``1 - tail`` is reached, by counts per
+    date, and of that date's own rows, with a ``key``, the share that is still missing, by a hash of the key."""
     from pyspark.sql import Window
 
     per = train.groupBy(day).agg(F.count("*").alias("n"))
     run = per.select(day, F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(day)).alias("upto"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("all"))
-    last = run.where(F.col("upto") - F.col("all") * (1 - tail) >= 0).agg(F.min(day)).first()[0]
-    return F.col(day) > F.lit(last) if last is not None else F.lit(False)
+    beyond = F.col("upto") - F.col("all") * (1 - tail)
+    last = per.join(run, day).where(beyond >= 0).agg(F.min_by(F.struct(day, (beyond / F.col("n")).alias("share")), day)).first()[0]
+    if last is None:
+        return F.lit(False)
+    after = F.col(day) > F.lit(last[day])
+    if key is None:
+        return after
+    return after | ((F.col(day) == F.lit(last[day])) & (F.xxhash64(F.lit(5), key) >= min(2**63 - 1, int(2**63 - min(1.0, last["share"]) * 2**64))))
 
 
 def importance(weights: dict[str, float], top: int = 40) -> list[tuple[str, float]]:
@@ -113,7 +120,7 @@ def curve_sizes(train: DataFrame, day: str, key: str, shares: tuple[float, ...]
     if fixed_span:
         u = F.pmod(F.xxhash64(F.lit(7), F.col(key).cast("string")), F.lit(1_000_000))
         return {s: train.where(u < int(s * 1_000_000)) for s in shares}
-    return {s: train.where(early_stop_tail(train, day, s)) if s < 1 else train for s in shares}
+    return {s: train.where(early_stop_tail(train, day, s, key)) if s < 1 else train for s in shares}
 
 
 def curve_verdict(points: list[tuple[int, float]], flat: float = 0.002) -> dict:
@@ -124,7 +131,7 @@ def curve_verdict(points: list[tuple[int, float]], flat: float = 0.002) -> dict:
     return {"slope_per_decade": slope, "verdict": "unknown" if math.isnan(slope) else "helps" if slope < -flat else "hurts" if slope > flat else "flat"}
 
 
-def permute_within(df: DataFrame, column: str, key: str, within: list[str] | None = None, seed: int = 36103) -> DataFrame:
+def permute_within(df: DataFrame, column: str, key: str, within: list[str] | None = None, seed: int = 17) -> DataFrame:
     """A placebo: ``column`` dealt anew among the rows (of each group of ``within``), missing values included. The n-th row
     in one hashed order gets the value of the n-th in another; without groups, rows are dealt by hash to groups of
     about 50,000, so no task sees them all."""

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import month_floor
 
-#: Up to so many intervals are broadcast; beyond it the join goes by shuffled time buckets.
-BROADCAST_ROWS = 100_000
-
 
 def legal_label(day: Column, versions: list[tuple[str, Column]]) -> Column:
     """The newest version's label among those whose last illegal date lies before ``day``; it stands even if it is null."""
@@ -62,12 +59,17 @@ def intervals(series: DataFrame, time: str, values: list[str]) -> DataFrame:
 
 
 def asof_series(left: DataFrame, series: DataFrame, left_time: str, time: str, values: list[str]) -> DataFrame:
-    """As-of join with a series that has no key. Few intervals, counted first, are broadcast; more go by time buckets."""
-    if series.count() > BROADCAST_ROWS:
-        return asof_bucketed(left, series, left_time, time, [], values)
+    """As-of join with a series that has no key: an equi-join on the month, in which each of the series' intervals stands
+    once for every month that it touches; the days are compared only within a month. Times after the series' last month
+    meet in that month, where its last interval is open."""
     spans = intervals(series, time, values)
-    on = (F.col(left_time) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(left_time) < F.col("valid_to")))
-    return left.join(F.broadcast(spans), on, "left").drop("valid_from", "valid_to")
+    month = lambda c: F.trunc(c, "month")
+    end = series.agg(F.max(time)).first()[0]
+    touched = F.sequence(month(F.col("valid_from")), month(F.coalesce("valid_to", "valid_from")), F.expr("interval 1 month"))
+    spans = spans.withColumn("_month", F.explode(touched))
+    own = left.withColumn("_own", F.least(month(F.col(left_time)), month(F.lit(end))))
+    on = (F.col("_own") == F.col("_month")) & (F.col(left_time) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(left_time) < F.col("valid_to")))
+    return own.join(spans, on, "left").drop("valid_from", "valid_to", "_month", "_own")
 
 
 def attach_macro(left: DataFrame, cash: DataFrame, cpi: DataFrame, day: str = "contract_date") -> DataFrame:

@@ -104,7 +104,7 @@ def systematic_sample(df: DataFrame, order: list[str], step: int) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(month).orderBy(*order))).where((F.col("_r") - 1) % step == 0).drop("_r")
 
 
-def capped_sample(df: DataFrame, key: str, most: int, seed: int = 36103) -> DataFrame:
+def capped_sample(df: DataFrame, key: str, most: int, seed: int = 17) -> DataFrame:
     """``most`` rows by a seeded hash; the same rows on every run."""
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key).cast("string")), key).limit(most)
 
