@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import linear_quantiles, median, safe_ratio
+from ..functions.scalars import safe_ratio
 from .metrics import ranked_bins
+from .quantiles import aggregate, medians
 
 
 def unit_price_index(df: DataFrame, price: str, area: str, key: str, bins: int = 10) -> DataFrame:
     """Medians by rank decile of area, and the unit price as an index of the first band."""
     banded = ranked_bins(df.where((F.col(price) > 0) & (F.col(area) > 0)), area, key, bins, "band")
-    per = banded.groupBy("band").agg(F.count("*").alias("n"), median(F.col(area)).alias("median_area"), median(F.col(price)).alias("median_price"), median(safe_ratio(F.col(price), F.col(area))).alias("median_unit_price"))
+    per = medians(banded, ["band"], [F.count("*").alias("n")], {"median_area": F.col(area), "median_price": F.col(price), "median_unit_price": safe_ratio(F.col(price), F.col(area))})
     first = F.first("median_unit_price").over(Window.partitionBy(F.lit(0)).orderBy("band"))
     return per.withColumn("unit_price_index", F.col("median_unit_price") / first * 100)
 
@@ -23,19 +24,20 @@ def binned_trend(df: DataFrame, x: str, y: str, bins: int = 20, least: int = 30)
 
     fine = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     edges = bin_edges(fine, [x], bins)[x]
-    return fine.groupBy(bin_of(F.col(x), edges).alias("bin")).agg(F.count("*").alias("n"), median(F.col(x)).alias("median_x"), median(F.col(y)).alias("median_y")).where(F.col("n") >= least)
+    binned = fine.select(bin_of(F.col(x), edges).alias("bin"), F.col(x).alias("_x"), F.col(y).alias("_y"))
+    return medians(binned, ["bin"], [F.count("*").alias("n")], {"median_x": F.col("_x"), "median_y": F.col("_y")}).where(F.col("n") >= least)
 
 
 def summary(df: DataFrame, column: str, at: tuple[float, ...] = (0.01, 0.25, 0.5, 0.75, 0.99)) -> DataFrame:
     """One row: count, mean, std, min, quantiles, max."""
     c = F.col(column)
-    one = df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev(c).alias("std"), F.min(c).alias("min"), linear_quantiles(c, list(at)).alias("q"), F.max(c).alias("max"))
+    one = aggregate(df, [], [F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")], {"q": c}, list(at))
     return one.select("count", "mean", "std", "min", *[F.col("q")[i].alias(f"p{round(a * 100):02d}") for i, a in enumerate(at)], "max")
 
 
 def boxplot(df: DataFrame, column: str, by: str, k: float = 1.5) -> DataFrame:
     """Quartiles, and whiskers at the last values within k interquartile ranges of them."""
-    q = df.where(F.col(column).isNotNull()).groupBy(by).agg(linear_quantiles(F.col(column), [0.25, 0.5, 0.75]).alias("q"))
+    q = aggregate(df.where(F.col(column).isNotNull()), [by], [], {"q": F.col(column)}, [0.25, 0.5, 0.75])
     q = q.select(F.col(by).alias("_by"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     lo, hi = F.col("q1") - (F.col("q3") - F.col("q1")) * k, F.col("q3") + (F.col("q3") - F.col("q1")) * k
     rows = df.where(F.col(column).isNotNull()).join(q, F.col(by).eqNullSafe(F.col("_by")))
@@ -59,13 +61,15 @@ def grid_counts(df: DataFrame, x: Column, y: Column, dx: float, dy: float) -> Da
 
 
 def yearly(df: DataFrame, day: str, price: str) -> DataFrame:
-    return df.where(F.col(price).isNotNull()).groupBy(F.year(day).alias("year")).agg(F.count("*").alias("n"), median(F.col(price)).alias("median_price"), F.min(price).alias("min_price"), F.max(price).alias("max_price"))
+    dated = df.where(F.col(price).isNotNull()).select(F.year(day).alias("year"), F.col(price).alias("_p"))
+    return medians(dated, ["year"], [F.count("*").alias("n"), F.min("_p").alias("min_price"), F.max("_p").alias("max_price")], {"median_price": F.col("_p")})
 
 
 def pivot_index(df: DataFrame, year: Column, arm: str, arms: list, price: str, base_year: int) -> DataFrame:
     """Median price by year and arm, each arm as an index of the base year, and the gap of the last arm to the first.
     Arms are given, so the pivot needs no scan for them; null where the base year is missing."""
-    wide = df.groupBy(year.alias("year")).pivot(arm, arms).agg(median(F.col(price)))
+    long = medians(df.select(year.alias("year"), F.col(arm).alias("_arm"), F.col(price).alias("_p")), ["year", "_arm"], [F.count("*").alias("_n")], {"_m": F.col("_p")})
+    wide = long.groupBy("year").pivot("_arm", arms).agg(F.max("_m"))
     names = [str(a) for a in arms]
     base = wide.where(F.col("year") == base_year).select(*[F.col(n).alias(f"_b{i}") for i, n in enumerate(names)])
     out = wide.join(F.broadcast(base), how="left", on=F.lit(True))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .cleaning import check_features
 from .keys import MISSING
+from .quantiles import aggregate, medians
 
 
 @dataclass(frozen=True)
@@ -73,8 +74,7 @@ def out_of_fold_target(train: DataFrame, column: str, target: str, row_key: str,
 
 def bin_edges(train: DataFrame, columns: list[str], bins: int = 10) -> dict[str, list[float]]:
     """Distinct quantile edges of each column; ``bins + 1`` numbers a column come to the driver."""
-    at = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    got = train.agg(*[F.percentile(c, at).alias(c) for c in columns]).first() if columns else {}
+    got = aggregate(train, [], [], {c: F.col(c) for c in columns}, [i / bins for i in range(bins + 1)]).first() if columns else {}
     return {c: sorted(set(got[c] or [])) for c in columns}
 
 
@@ -119,7 +119,7 @@ class Encoder:
     def fit(self, train: DataFrame) -> Encoder:
         s = self.spec
         if s.numeric:
-            got = train.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in s.numeric]).first()
+            got = medians(train, [], [], {c: F.col(c) for c in s.numeric}).first()
             self.degenerate = [c for c in s.numeric if got[c] is None]
             self.medians = {c: 0.0 if got[c] is None else float(got[c]) for c in s.numeric}
         self.edges = bin_edges(train, list(s.binned), s.bins)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import linear_quantiles, safe_log10
+from ..functions.scalars import safe_log10
+from .quantiles import aggregate
 
 ALL = "__all__"
 MODES = ("per_year_full_sample", "per_year_train_only", "global_train_only", "off")
@@ -19,14 +20,15 @@ def _judged(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def fit_bounds(df: DataFrame, columns: list[str], group: Column, k: float = 1.5, overall: bool = True) -> DataFrame:
-    """Tidy fences (grp, column, lo, hi, n) of log10 values, per group and over all rows. One scan of the columns; groups and
-    the total come from one aggregate over grouping sets."""
+    """Tidy fences (grp, column, lo, hi, n) of log10 values, per group and over all rows, each row counted once for its group
+    and once for all."""
     logs = {c: safe_log10(F.col(c)) for c in columns}
-    rows = _judged(df, columns).select(group.cast("string").alias("grp"), *[v.alias(c) for c, v in logs.items()])
-    agg = [F.count("*").alias("n"), F.grouping("grp").alias("_all"), *[linear_quantiles(F.col(c), [0.25, 0.75]).alias(c) for c in columns]]
-    fitted = rows.rollup("grp").agg(*agg).withColumn("grp", F.when(F.col("_all") == 1, ALL).otherwise(F.col("grp")))
-    if not overall:
-        fitted = fitted.where("_all = 0")
+    rows = _judged(df, columns).select(group.cast("string").alias("_own"), *[v.alias(c) for c, v in logs.items()])
+    if overall:
+        rows = rows.withColumn("grp", F.explode(F.array(F.col("_own"), F.lit(ALL)))).drop("_own")
+    else:
+        rows = rows.withColumnRenamed("_own", "grp")
+    fitted = aggregate(rows, ["grp"], [F.count("*").alias("n")], {c: F.col(c) for c in columns}, [0.25, 0.75])
     parts = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("q")) for c in columns]))
     tidy = fitted.select("grp", "n", parts.alias("x")).select("grp", "n", "x.column", F.col("x.q")[0].alias("q1"), F.col("x.q")[1].alias("q3"))
     step = (F.col("q3") - F.col("q1")) * k
@@ -35,7 +37,7 @@ def fit_bounds(df: DataFrame, columns: list[str], group: Column, k: float = 1.5,
 
 def global_bounds(df: DataFrame, columns: list[str], k: float = 1.5, caps: dict[str, float] | None = None) -> DataFrame:
     """One fence per column over all rows; a cap is an upper limit in values."""
-    out = fit_bounds(df, columns, F.lit(ALL), k).where(F.col("grp") == ALL).dropDuplicates(["column"])
+    out = fit_bounds(df, columns, F.lit(ALL), k, overall=False)
     for c, cap in (caps or {}).items():
         out = out.withColumn("hi", F.when(F.col("column") == c, F.least("hi", F.log10(F.lit(float(cap))))).otherwise(F.col("hi")))
     return out
@@ -92,9 +94,8 @@ def fence(df: DataFrame, columns: list[str], group: Column, in_train: Column, mo
         out = df.withColumns({"iqr_corruption_ok": F.lit(True), "iqr_keep": F.lit(True)})
         return apply_filter(out)
     train = df.where(in_train)
-    fitted = fit_bounds(df if mode == "per_year_full_sample" else train, columns, F.lit(ALL) if mode == "global_train_only" else group, k)
-    if mode == "global_train_only":
-        fitted = fitted.where(F.col("grp") == ALL).dropDuplicates(["column"])
+    whole = mode == "global_train_only"
+    fitted = fit_bounds(df if mode == "per_year_full_sample" else train, columns, F.lit(ALL) if whole else group, k, overall=not whole)
     return apply_filter(mark_quality(df, fitted, global_bounds(train, columns, k), columns, group))
 
 

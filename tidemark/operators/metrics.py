@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import rank_bin
+from .quantiles import magnitude, medians
 
 
 def metric_columns(y: Column, p: Column) -> dict[str, Column]:
@@ -24,18 +25,22 @@ def metric_columns(y: Column, p: Column) -> dict[str, Column]:
         "r2": F.when(total > 0, 1 - F.sum(d * d) / F.when(total > 0, total)),
         "mae": F.avg(F.abs(b - a)),
         "rmse": F.sqrt(F.avg((b - a) * (b - a))),
-        "mdape": F.percentile(ape, F.lit(0.5)) * 100,
         "mape": F.avg(ape) * 100,
     }
 
 
 def report(df: DataFrame, y: str = "y_true_log10", p: str = "y_pred_log10") -> DataFrame:
-    return df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).agg(*[c.alias(k) for k, c in metric_columns(F.col(y), F.col(p)).items()])
+    """One row of all metrics, ``mdape`` (the median error in percent) among them."""
+    return grouped_report(df, [], y, p, 0)
 
 
 def grouped_report(df: DataFrame, by: list[str], y: str = "y_true_log10", p: str = "y_pred_log10", least: int = 50) -> DataFrame:
-    fine = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
-    return fine.groupBy(*by).agg(*[c.alias(k) for k, c in metric_columns(F.col(y), F.col(p)).items()]).where(F.col("n") >= least)
+    """``report`` per group, of groups with at least so many rows. Predictions are dear, so they are made once: the groups,
+    truths and predictions are shuffled, and all passes over them read that one exchange."""
+    fine = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).select(*by, y, p).hint("rebalance")
+    a, b = F.pow(F.lit(10.0), y), F.pow(F.lit(10.0), p)
+    out = medians(fine, by, [c.alias(k) for k, c in metric_columns(F.col(y), F.col(p)).items()], {"mdape": F.abs(b - a) / a})
+    return out.withColumn("mdape", F.col("mdape") * 100).where(F.col("n") >= least)
 
 
 def compare_models(df: DataFrame, model: str = "model", y: str = "y_true_log10", p: str = "y_pred_log10") -> DataFrame:
@@ -50,7 +55,7 @@ def with_rank(df: DataFrame, value: str, tie: str | None, out: str = "rank", n:
     """``df`` without null values, with the global 1-based rank of ``value`` (ties in the order of ``tie``; without it, the
     mean rank of equal values) and the number of ranked rows.
 
-    No task sees all rows: they are dealt by 1024 ranges between approximate quantiles, ranked within a range, and the
+    No task sees all rows: they are dealt by some 1024 ranges of values, ranked within a range, and the
     counts of the ranges before are added. Equal values are in one range; their group is not gathered for mean
     ranks, which come from counts per value.
     """
@@ -71,18 +76,19 @@ def with_rank(df: DataFrame, value: str, tie: str | None, out: str = "rank", n:
     return joined.withColumn(out, F.row_number().over(w) + F.col("_before")).drop("_part", "_before")
 
 
-#: Ranges that ranking deals rows to, as COARSE times COARSE so that a row finds its range in two short searches.
-COARSE = 32
+#: Ranges that ranking deals rows to, beside one more for every factor of 1.06 that the values span.
+RANGES = 1024
 
 
 def _dealt(rows: DataFrame, value: str, weight: Column) -> DataFrame:
-    n = COARSE * COARSE
-    at = F.array(*[F.lit(i / n) for i in range(1, n)])
-    one = rows.agg(F.approx_percentile(F.col(value).cast("double"), at, F.lit(10000)).alias("_e"))
-    one = one.withColumn("_coarse", F.transform(F.sequence(F.lit(1), F.lit(COARSE - 1)), lambda i: F.col("_e")[i * COARSE - 1]))
-    first = F.size(F.filter("_coarse", lambda e: e <= F.col(value))) * COARSE
-    placed = rows.crossJoin(F.broadcast(one)).withColumn("_k", first)
-    return placed.withColumn("_part", F.col("_k") + F.size(F.filter(F.slice("_e", F.col("_k") + 1, COARSE - 1), lambda e: e <= F.col(value)))).drop("_e", "_coarse", "_k")
+    """``rows`` with ``_part``, a range that rises with the value: ranges of magnitude, each cut into equal widths
+    by its share of the rows. What is broadcast has a row a magnitude, of which there are at most 48,000."""
+    placed = rows.withColumn("_x", F.col(value).cast("double")).withColumn("_m", magnitude(F.col("_x"), 16))
+    per = placed.groupBy("_m").agg(F.sum(weight).alias("_s"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+    per = per.withColumn("_s", F.ceil(F.col("_s") * RANGES / F.sum("_s").over(Window.partitionBy(F.lit(0)))))
+    at = F.floor((F.col("_x") - F.col("_low")) / F.when(F.col("_high") > F.col("_low"), F.col("_high") - F.col("_low")) * F.col("_s"))
+    cut = F.when(F.col("_high") > F.col("_low"), F.least(at, F.col("_s") - 1)).otherwise(F.lit(0)).cast("int")
+    return placed.join(F.broadcast(per), "_m").withColumn("_part", F.struct("_m", cut.alias("_i"))).drop("_x", "_m", "_s", "_low", "_high")
 
 
 def ranked_bins(df: DataFrame, value: str, tie: str, bins: int, out: str = "bin") -> DataFrame:
@@ -99,7 +105,8 @@ def worst_share(df: DataFrame, error: str, tie: str, share: float = 0.01) -> Dat
 
 def price_band_errors(df: DataFrame, price: str, ape: str, naive: str, tie: str, bins: int = 5) -> DataFrame:
     banded = ranked_bins(df, price, tie, bins, "band")
-    return banded.groupBy("band").agg(F.count("*").alias("n"), (F.percentile(ape, F.lit(0.5)) * 100).alias("mdape"), (F.avg(ape) * 100).alias("mape"), (F.percentile(naive, F.lit(0.5)) * 100).alias("naive_mdape"))
+    out = medians(banded, ["band"], [F.count("*").alias("n"), (F.avg(ape) * 100).alias("mape")], {"mdape": F.col(ape), "naive_mdape": F.col(naive)})
+    return out.select("band", "n", (F.col("mdape") * 100).alias("mdape"), "mape", (F.col("naive_mdape") * 100).alias("naive_mdape"))
 
 
 def win_counts(scores: DataFrame, metric: str = "rmsle") -> DataFrame:

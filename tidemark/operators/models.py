@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import medians
+
 ALIASES = {"naive": "naive_postcode", "pc": "naive_postcode", "global": "naive_global", "rf": "random_forest", "gbt": "gbt", "xgb": "gbt", "xgboost": "gbt", "linear": "ridge"}
 MODELS = ("naive_postcode", "naive_global", "ridge", "random_forest", "gbt")
 
@@ -31,7 +33,7 @@ def naive_postcode(df: DataFrame, train_median: float, out: str = "naive_pred_lo
 
 
 def train_median(train: DataFrame, price: str = "purchase_price") -> float:
-    got = train.agg(F.percentile(price, F.lit(0.5))).first()[0]
+    got = medians(train, [], [], {"m": F.col(price)}).first()["m"]
     if got is None:
         raise ValueError("no training prices")
     return float(got)
