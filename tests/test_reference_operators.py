@@ -233,19 +233,21 @@ def test_fold_table():
     assert (folds[7].train_end, folds[7].valid_start, folds[7].valid_end) == (date(2021, 12, 1), date(2022, 2, 1), date(2022, 12, 1))
     with pytest.raises(ValueError):
         splits.rolling_origin(date(2001, 1, 1), date(2023, 12, 1), mode="x")
+    with pytest.raises(ValueError):
+        splits.rolling_origin(date(2001, 1, 1), date(2023, 12, 1), mode="sliding")
     with pytest.raises(ValueError):
         splits.holdout_window(date(2020, 1, 1), date(2020, 6, 1), 6)
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.integers(1, 200), st.integers(1, 60), st.integers(1, 24), st.integers(1, 24), st.integers(0, 6), st.integers(0, 12), st.sampled_from(["expanding", "sliding"]))
-def test_folds_move_forward(months, min_train, horizon, step, embargo, holdout, mode):
+@given(st.integers(1, 200), st.integers(1, 60), st.integers(1, 24), st.integers(1, 24), st.integers(0, 6), st.integers(0, 12), st.sampled_from(["expanding", "sliding"]), st.integers(1, 80))
+def test_folds_move_forward(months, min_train, horizon, step, embargo, holdout, mode, window):
     last = splits._add(date(2000, 1, 1), months - 1)
-    folds = splits.rolling_origin(date(2000, 1, 1), last, min_train, horizon, step, embargo, holdout, mode)
+    folds = splits.rolling_origin(date(2000, 1, 1), last, min_train, horizon, step, embargo, holdout, mode, window)
     for f in folds:
         assert splits._months(f.train_end, f.valid_start) - 1 == embargo + 1 and f.valid_start <= f.valid_end <= splits._add(last, -holdout)
         if mode == "sliding":
-            assert splits._months(f.train_start, f.train_end) == min_train
+            assert splits._months(f.train_start, f.train_end) == min(window, splits._months(date(2000, 1, 1), f.train_end))
     assert all(a.valid_start < b.valid_start for a, b in zip(folds, folds[1:]))
 
 
@@ -435,6 +437,27 @@ def test_cluster_sums_equal_resampled_rows(spark):
     assert abs(float(econometrics.correlation(*sums)) - np.corrcoef(rows.T)[0, 1]) < 1e-9
     a, b = (econometrics.bootstrap_ci(df, "x", "y", "post_code", draws=200).first() for _ in range(2))
     assert a == b and a.low <= a.estimate <= a.high and a.clusters == len(m)
+    per = {r.g: r for r in econometrics.bootstrap_ci(df.withColumn("g", F.col("post_code") > "p3").union(df.withColumn("g", F.lit(None).cast("boolean"))), "x", "y", "post_code", draws=50, by=["g"]).collect()}
+    alone = econometrics.bootstrap_ci(df, "x", "y", "post_code", draws=50).first()
+    assert abs(per[None].low - alone.low) < 1e-9 and per[None].clusters == sum(r.clusters for g, r in per.items() if g is not None)
+    none = econometrics.bootstrap_ci(df.limit(0), "x", "y", "post_code", draws=5).first()
+    assert (none.estimate, none.draws, none.clusters) == (None, 0, 0)
+
+
+def test_prices_dealt_anew(spark):
+    rng = random.Random(4)
+    rows = [(i, a := rng.gauss(2.7, 0.2), 5 + 0.4 * a + rng.gauss(0, 0.1)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id int, a double, p double")
+    a, p = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    for block in (50_000, 300):  # one block, and ten
+        got = {r.draw: r.correlation for r in econometrics.ratio_placebo(df, "a", "p", "id", 100, block=block).collect()}
+        assert sorted(got) == list(range(101)) and abs(got[0] - np.corrcoef(a, p - a)[0, 1]) < 1e-9
+        rng2 = np.random.default_rng(1)
+        want = [np.corrcoef(a, rng2.permutation(p) - a)[0, 1] for _ in range(400)]
+        drawn = [got[d] for d in range(1, 101)]
+        assert abs(np.mean(drawn) - np.mean(want)) < 4 * np.std(want) / 10 and 0.7 < np.std(drawn) / np.std(want) < 1.4
+    assert all(sorted(econometrics._places(n, d)) == list(range(n)) for n in (0, 1, 7, 1000) for d in (1, 2))
+    assert [r.correlation for r in econometrics.ratio_placebo(df.limit(0), "a", "p", "id", 2).collect()] == [None]
 
 
 def test_correlation_of_a_constant_is_null(spark):

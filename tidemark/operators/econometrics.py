@@ -11,10 +11,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import linear_quantiles
+
 
 def normal_p(z: float) -> float:
     """Two-sided."""
@@ -313,9 +316,9 @@ def stacked(fits: dict[str, EventStudy], spark) -> DataFrame:
     return out
 
 
-def cluster_moments(df: DataFrame, x: str, y: str, cluster: str) -> DataFrame:
+def cluster_moments(df: DataFrame, x: str, y: str, cluster: str, by: list[str] | None = None) -> DataFrame:
     """Per cluster the sums that any resampling of whole clusters needs for Pearson's correlation."""
-    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(cluster).agg(F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(F.col(x) * F.col(x)).alias("sxx"), F.sum(F.col(y) * F.col(y)).alias("syy"), F.sum(F.col(x) * F.col(y)).alias("sxy"))
+    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*(by or []), cluster).agg(F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(F.col(x) * F.col(x)).alias("sxx"), F.sum(F.col(y) * F.col(y)).alias("syy"), F.sum(F.col(x) * F.col(y)).alias("sxy"))
 
 
 def correlation(n, sx, sy, sxx, syy, sxy):
@@ -325,48 +328,71 @@ def correlation(n, sx, sy, sxx, syy, sxy):
         return np.where((vx > 0) & (vy > 0), (n * sxy - sx * sy) / np.sqrt(np.maximum(vx * vy, 1e-300)), np.nan)
 
 
-def bootstrap_ci(df: DataFrame, x: str, y: str, cluster: str, draws: int = 300, seed: int = 17, level: float = 0.95) -> DataFrame:
-    """Interval of Pearson's correlation over ``draws`` resamples of whole clusters: one row estimate, low, high, std, draws,
-    clusters. How often a draw takes a cluster is a Poisson number hashed from (seed, draw, cluster), which stands for
-    drawing with replacement; so all draws are one distributed aggregate of the clusters' sums - weighted sums equal
-    those of resampled rows - and reruns agree."""
-    m = cluster_moments(df, x, y, cluster)
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("draw"), F.col(cluster).cast("string")), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    below, p, times = 0.0, math.exp(-1.0), F.lit(0)
-    for k in range(1, 16):
-        below += p
-        times = times + (u > below).cast("int")
-        p /= k
-    sums = ["n", "sx", "sy", "sxx", "syy", "sxy"]
-    each = m.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws)))).withColumn("w", F.when(F.col("draw") == 0, F.lit(1)).otherwise(times))
-    got = each.groupBy("draw").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in sums]).orderBy("draw").collect()
-    r = correlation(*(np.array([g[c] or 0.0 for g in got], float) for c in sums))
-    drawn = r[1:][np.isfinite(r[1:])]
-    tail = (1 - level) / 2
-    row = [float(r[0]) if len(r) and np.isfinite(r[0]) else None, *(([float(np.quantile(drawn, tail)), float(np.quantile(drawn, 1 - tail)), float(drawn.std())]) if len(drawn) else [None] * 3), int(len(drawn)), m.count()]
-    return df.sparkSession.createDataFrame([tuple(row)], "estimate double, low double, high double, std double, draws int, clusters long")
+def drawn(text: Column, below: Column | int) -> Column:
+    """A whole number under ``below`` from the md5 of a text: other engines have it too, so SQL can repeat a draw."""
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long") % below
 
 
-def ratio_placebo(df: DataFrame, log_area: str, log_price: str, key: str, draws: int = 200, seed: int = 17) -> DataFrame:
-    """Correlation of log area with log unit price, true (draw 0) and with prices dealt anew: draw, correlation. A permutation
-    pairs the place of a row in one hashed order with its place in another. Ranks within hash ranges pair rows in many
-    tasks; rows beyond the shorter side of a range pair in a last range of their own."""
+def bootstrap_ci(df: DataFrame, x: str, y: str, cluster: str, draws: int = 300, seed: int = 17, level: float = 0.95, by: list[str] | None = None) -> DataFrame:
+    """Interval of Pearson's correlation over ``draws`` resamples of as many whole clusters as there are, with replacement:
+    estimate, low, high, std, draws, clusters; one row, or one for each group of ``by``. Each cluster stands for a slot of
+    each draw, and a hash of (seed, draw, slot) names the cluster that fills it; weighted sums of clusters equal those of
+    resampled rows. So all draws of all groups are one aggregate, and reruns agree. Clusters are numbered in one task
+    a group, a row each. A draw in which a side is constant does not count; estimates are null without rows."""
     from pyspark.sql import Window
 
-    rows = df.where(F.col(log_area).isNotNull() & F.col(log_price).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(log_area).alias("a"), F.col(log_price).alias("p"))
-    n = rows.count()
-    parts = max(1, n // 50_000)
-    out = rows.agg(F.lit(0).alias("draw"), F.corr("a", F.col("p") - F.col("a")).alias("correlation"))
-    for d in range(1, draws + 1):
-        h = lambda s, d=d: F.xxhash64(F.lit(seed), F.lit(d), F.lit(s), "k", "a", "p")
-        side = lambda c, s, h=h: rows.select(F.col(c), F.pmod(h(s), F.lit(parts)).alias("b"), h(s + "o").alias("o")).withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("o", c)))
-        both = side("a", "x").select("b", "r", "a").join(side("p", "y").select("b", "r", "p"), ["b", "r"], "full")
-        met = both.where("a is not null and p is not null").select("a", "p")
-        if parts > 1:
-            rest = lambda c, both=both: both.where(F.col("a").isNull() | F.col("p").isNull()).where(F.col(c).isNotNull()).select(c, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("b", "r")).alias("r"))
-            met = met.union(rest("a").join(rest("p"), "r").select("a", "p"))
-        out = out.union(met.agg(F.lit(d).alias("draw"), F.corr("a", F.col("p") - F.col("a")).alias("correlation")))
-    return out
+    keys = by or []
+    own = Window.partitionBy(*(keys or [F.lit(0)]))
+    m = cluster_moments(df, x, y, cluster, by).withColumns({"_i": F.row_number().over(own.orderBy(F.col(cluster).cast("string"))) - 1, "_c": F.count("*").over(own)})
+    slots = m.select(*keys, F.col("_i").alias("_slot"), "_c", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")) if draws else m.select(*keys, F.col("_i").alias("_slot"), "_c", F.lit(1).alias("draw")).limit(0)
+    picks = slots.groupBy(*keys, "draw", drawn(F.concat_ws(":", F.lit(seed), "draw", "_slot"), F.col("_c")).alias("_i")).agg(F.count("*").alias("w"))
+    on = F.col("p._i") == F.col("m._i")
+    for k in keys:
+        on = on & F.col(f"p.{k}").eqNullSafe(F.col(f"m.{k}"))
+    sums = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+    named = [F.col(f"m.{k}").alias(k) for k in keys]
+    resampled = picks.alias("p").join(m.alias("m"), on).select(*named, "draw", "w", *sums)
+    each = m.select(*keys, F.lit(0).alias("draw"), F.lit(1).cast("long").alias("w"), *sums).union(resampled).groupBy(*keys, "draw").agg(*[F.sum(F.col(c) * F.col("w")).cast("double").alias(c) for c in sums], F.count("*").alias("_c"))
+    vx, vy = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"), F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
+    r = F.when((vx > 0) & (vy > 0), (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(vx * vy))
+    each = each.select(*keys, "draw", "_c", r.alias("r"), F.when(F.col("draw") > 0, r).alias("d"))
+    tail = (1 - level) / 2
+    out = each.groupBy(*keys).agg(F.max(F.when(F.col("draw") == 0, F.col("r"))).alias("estimate"), linear_quantiles(F.col("d"), [tail, 1 - tail]).alias("q"), F.stddev_pop("d").alias("std"), F.count("d").cast("int").alias("draws"), F.coalesce(F.max(F.when(F.col("draw") == 0, F.col("_c"))), F.lit(0)).cast("long").alias("clusters"))
+    return out.select(*keys, "estimate", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "std", "draws", "clusters")
+
+
+def _places(n: int, draw: int) -> np.ndarray:
+    """A permutation of n places for a draw: places in the order of a mixed number of place and draw, modulo a prime, in
+    whole numbers under 2**62, so SQL can repeat it."""
+    prime = 2**31 - 1
+    h = (np.arange(1, n + 1, dtype=np.int64) * 48271 + draw * 69621) % prime
+    h = ((h ^ (h >> 13)) * 1103515245) % prime
+    h = ((h ^ (h >> 16)) * 1566083941) % prime
+    return np.argsort(h, kind="stable")
+
+
+def ratio_placebo(df: DataFrame, log_area: str, log_price: str, key: str, draws: int = 200, seed: int = 17, block: int = 50_000) -> DataFrame:
+    """Correlation of log area with log unit price, true (draw 0) and with prices dealt anew: draw, correlation (null where
+    it has none). Rows are dealt by a hash of their ``key``, which tells them apart, to random blocks of about ``block``
+    rows, once for all draws; within its block each price moves in every draw. Random blocks leave the mean and, but for
+    one part in ``block``, the variance of the placebo as under one permutation of all rows. Area and price keep their
+    spread, so a draw needs only the sum of products: blocks send one number a draw."""
+    rows = df.where(F.col(log_area).isNotNull() & F.col(log_price).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(log_area).cast("double").alias("a"), F.col(log_price).cast("double").alias("p"))
+    t = rows.agg(F.count("*").alias("n"), F.avg("a").alias("a"), F.avg("p").alias("p"), F.var_pop("a").alias("va"), F.var_pop("p").alias("vp"), F.covar_pop("a", "p").alias("c")).first()
+    n, mean_a, mean_p = t["n"], t["a"] or 0.0, t["p"] or 0.0
+    parts = max(1, n // block)
+
+    def moved(whole: pd.DataFrame) -> pd.DataFrame:
+        whole = whole.sort_values(["o", "k", "a", "p"], kind="stable")
+        a, p = whole["a"].to_numpy() - mean_a, whole["p"].to_numpy() - mean_p
+        return pd.DataFrame({"draw": np.arange(1, draws + 1, dtype=np.int32), "s": [float(a @ p[_places(len(a), d)]) for d in range(1, draws + 1)]})
+
+    dealt = rows.withColumns({"b": drawn(F.concat_ws(":", F.lit(seed), "k"), parts), "o": drawn(F.concat_ws(":", F.lit(seed), F.lit("o"), "k"), 1 << 48)})
+    sums = dealt.groupBy("b").applyInPandas(moved, "draw int, s double").groupBy("draw").agg((F.sum("s") / max(n, 1)).alias("c"))
+    every = df.sparkSession.createDataFrame([(0, t["c"])], "draw int, c double").union(sums)
+    va, vp = F.lit(t["va"]).cast("double"), F.lit(t["vp"]).cast("double")
+    spread = va * (vp + va - 2 * F.col("c"))
+    return every.select("draw", F.when(spread > 0, (F.col("c") - va) / F.sqrt(spread)).alias("correlation"))
 
 
 def within_slope(df: DataFrame, y: str, x: str, unit: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_log10
 from .describe import unit_price_index
-from .econometrics import Fit, bootstrap_ci, fe_regression, normal_p, pearson, ratio_placebo
+from .econometrics import Fit, bootstrap_ci, fe_regression, normal_p, ratio_placebo
 from .metrics import with_rank
 
 #: Why area must not be adjusted for what a larger area itself changes.
@@ -28,6 +28,12 @@ def spearman_bootstrap(df: DataFrame, x: str, y: str, cluster: str, draws: int =
     return bootstrap_ci(ranked, "rank_x", "rank_y", cluster, draws, seed)
 
 
+def yearly_intervals(df: DataFrame, x: str, y: str, cluster: str, least: int = 500, draws: int = 60, seed: int = 17) -> DataFrame:
+    """Per ``year`` with at least ``least`` rows: n, and the correlation with its interval over resampled clusters."""
+    n = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy("year").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return n.join(bootstrap_ci(df, x, y, cluster, draws, seed, by=["year"]), "year")
+
+
 @dataclass
 class AreaPrice:
     headline: DataFrame
@@ -38,15 +44,16 @@ class AreaPrice:
 
 def area_price(df: DataFrame, cluster: str = "post_code", day: str = "contract_date", draws: int = 300, least_year: int = 500, seed: int = 17) -> AreaPrice:
     """Raw, rank and log correlations of area and price with cluster intervals; the log correlation by year; the elasticity
-    within places and years; and whether the two signs differ. ``df`` has purchase_price and area_sqm."""
-    both = logs(df).where("log_price is not null and log_area is not null")
+    within places and years; and whether the two signs differ. Years are those with ``least_year`` rows; each has its own
+    interval over a fifth of the draws, 50 at least. ``df`` has purchase_price and area_sqm."""
+    both = logs(df).where("log_price is not null and log_area is not null").withColumn("year", F.year(day))
     parts = {"pearson": bootstrap_ci(both, "area_sqm", "purchase_price", cluster, draws, seed), "spearman": spearman_bootstrap(both, "area_sqm", "purchase_price", cluster, draws, seed), "log_pearson": bootstrap_ci(both, "log_area", "log_price", cluster, draws, seed)}
     headline = None
     for name, part in parts.items():
         part = part.withColumn("statistic", F.lit(name))
         headline = part if headline is None else headline.unionByName(part)
-    yearly = pearson(both.withColumn("year", F.year(day)), "log_area", "log_price", ["year"], least_year)
-    within = fe_regression(both.withColumn("year", F.year(day)), "log_price", ["log_area"], cluster, "year", cluster)
+    yearly = yearly_intervals(both, "log_area", "log_price", cluster, least_year, max(50, draws // 5), seed)
+    within = fe_regression(both, "log_price", ["log_area"], cluster, "year", cluster)
     raw = parts["log_pearson"].first()["estimate"]
     return AreaPrice(headline, yearly, within, raw is not None and float(within.coef[0]) * raw < 0)
 

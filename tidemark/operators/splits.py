@@ -39,17 +39,20 @@ def holdout_window(first: date, last: date, months: int = 12) -> tuple[date, dat
     return _add(last.replace(day=1), 1 - months), last.replace(day=1)
 
 
-def rolling_origin(first: date, last: date, min_train: int = 84, horizon: int = 12, step: int = 24, embargo: int = 1, holdout: int = 12, mode: str = "expanding") -> list[Fold]:
+def rolling_origin(first: date, last: date, min_train: int = 84, horizon: int = 12, step: int = 24, embargo: int = 1, holdout: int = 12, mode: str = "expanding", window: int | None = None) -> list[Fold]:
     """Folds over the calendar months from first to last. Validation starts ``embargo`` whole months after the training's
-    last month, lasts ``horizon`` months and never reaches the holdout; sliding training keeps ``min_train`` months."""
+    last month, lasts ``horizon`` months and never reaches the holdout; sliding training keeps the last ``window`` months,
+    or all where there are fewer."""
     if mode not in ("expanding", "sliding"):
         raise ValueError(f"unknown mode {mode}")
+    if mode == "sliding" and not window:
+        raise ValueError("sliding folds need a window")
     first, last = first.replace(day=1), last.replace(day=1)
     ceiling = _months(first, last) - 1 - holdout
     out, end = [], min_train - 1
     while end + embargo + 1 <= ceiling:
         start = end + embargo + 1
-        out.append(Fold(len(out), _add(first, end - min_train + 1 if mode == "sliding" else 0), _add(first, end), _add(first, start), _add(first, min(start + horizon - 1, ceiling)), embargo))
+        out.append(Fold(len(out), _add(first, max(0, end - window + 1) if mode == "sliding" else 0), _add(first, end), _add(first, start), _add(first, min(start + horizon - 1, ceiling)), embargo))
         if min(start + horizon - 1, ceiling) == ceiling:
             break
         end += step

@@ -397,21 +397,29 @@ def fence_diagnostic(spark, sf_dir):
 
 # splits
 
-_FOLDS = splits.rolling_origin(date(1995, 1, 1), date(2001, 8, 1), min_train=24, horizon=6, step=12, embargo=1, holdout=12)
-_FOLDS_SQL = "folds(fold, train_start, train_end, valid_start, valid_end, embargo) as (values " + ", ".join(f"({f.fold}, date '{f.train_start}', date '{f.train_end}', date '{f.valid_start}', date '{f.valid_end}', {f.embargo})" for f in _FOLDS) + ")"
+_SHAPE = {"min_train": 24, "horizon": 6, "step": 12, "embargo": 1, "holdout": 12}
+_FOLDS_SQL = """months as (select date_trunc('month', min(contract_date)) as a, date_diff('month', min(contract_date), max(contract_date)) - 12 as ceiling from sales),
+  folds as (select k as fold, cast(a as date) as train_start, cast(a + to_months(cast(23 + 12 * k as int)) as date) as train_end, cast(a + to_months(cast(25 + 12 * k as int)) as date) as valid_start,
+    cast(a + to_months(cast(least(30 + 12 * k, ceiling) as int)) as date) as valid_end, 1 as embargo from months cross join range(0, 1000) t(k) where 25 + 12 * k <= ceiling and (k = 0 or 18 + 12 * k < ceiling))"""
 _TAGS = f"""with {SALES}, {_FOLDS_SQL}, tags as (select s.*, fold, case when date_trunc('month', contract_date) between valid_start and valid_end then 'valid' else 'train' end as side from sales s join folds
   on date_trunc('month', contract_date) between train_start and train_end or date_trunc('month', contract_date) between valid_start and valid_end),
   purged as (select * from tags t where side = 'valid' or not exists (select 1 from tags v where v.side = 'valid' and v.fold = t.fold and v.group_key = t.group_key))"""
 
 
+def _folds(spark, df: DataFrame) -> DataFrame:
+    return splits.folds_frame(spark, splits.folds_of(df, **_SHAPE))
+
+
 def _tags(spark, sf_dir: str) -> DataFrame:
-    return splits.tagged(sales(spark, sf_dir), splits.folds_frame(spark, _FOLDS))
+    df = sales(spark, sf_dir)
+    return splits.tagged(df, _folds(spark, df))
 
 
 @query("fold:i train_start:d train_end:d valid_start:d valid_end:d embargo:i train_rows:i valid_rows:i train_rows_purged:i", f"""{_TAGS} select f.*, (select count(*) from tags t where t.fold = f.fold and side = 'train') as train_rows,
   (select count(*) from tags t where t.fold = f.fold and side = 'valid') as valid_rows, (select count(*) from purged t where t.fold = f.fold and side = 'train') as train_rows_purged from folds f""")
 def fold_summary(spark, sf_dir):
-    return splits.summarize(sales(spark, sf_dir), splits.folds_frame(spark, _FOLDS))
+    df = sales(spark, sf_dir)
+    return splits.summarize(df, _folds(spark, df))
 
 
 @query("fold:i side:s sale_id:i", f"{_TAGS} select * from purged")
@@ -419,10 +427,11 @@ def group_purge(spark, sf_dir):
     return splits.purge(_tags(spark, sf_dir))
 
 
-@query("side:s sale_id:i", f"""with {SALES}, v as (select * from sales where contract_date >= date '2000-09-01' and contract_date < date '2001-09-01')
-  select 'holdout' as side, sale_id from v union all select 'train', sale_id from sales s where contract_date < date '2000-09-01' and not exists (select 1 from v where v.group_key = s.group_key)""")
+@query("side:s sale_id:i", f"""with {SALES}, w as (select date_trunc('month', max(contract_date)) - interval 11 month as a from sales), v as (select s.* from sales s, w where contract_date >= a)
+  select 'holdout' as side, sale_id from v union all select 'train', sale_id from sales s, w where contract_date < a and not exists (select 1 from v where v.group_key = s.group_key)""")
 def holdout_split(spark, sf_dir):
-    train, held = splits.holdout_split(sales(spark, sf_dir), date(1995, 1, 1), date(2001, 8, 1))
+    df = sales(spark, sf_dir)
+    train, held = splits.holdout_split(df, *df.agg(F.min("contract_date"), F.max("contract_date")).first())
     return train.select(F.lit("train").alias("side"), "sale_id").union(held.select(F.lit("holdout"), "sale_id"))
 
 
@@ -714,16 +723,43 @@ def dose_response(spark, sf_dir):
     return econometrics.dose_response(log, "log_price", _assigned(spark, sf_dir).select("post_code", "distance")).frame(spark)
 
 
-@query("estimate:f low:f high:f std:f draws:i clusters:i")
+def _bootstrap_sql(rows: str, x: str, y: str, draws: int = 300, by: str = "0") -> str:
+    """Resampled postcodes of each ``by``, drawn by the same hashes as the operator draws."""
+    sums = "sum(n) as n, sum(sx) as sx, sum(sy) as sy, sum(sxx) as sxx, sum(syy) as syy, sum(sxy) as sxy"
+    return f"""(with g as (select {by} as g, post_code, count(*) as n, sum({x}) as sx, sum({y}) as sy, sum({x} * {x}) as sxx, sum({y} * {y}) as syy, sum({x} * {y}) as sxy from {rows} where {x} is not null and {y} is not null group by 1, 2),
+    m as (select *, row_number() over (partition by g order by cast(post_code as varchar)) - 1 as i, count(*) over (partition by g) as k from g),
+    p as (select g, d, ('0x' || substr(md5(concat_ws(':', 17, d, i)), 1, 12))::bigint % k as i from m cross join range(1, {draws + 1}) t(d)),
+    e as (select g, 0 as d, n, sx, sy, sxx, syy, sxy from m union all select p.g, d, n, sx, sy, sxx, syy, sxy from p join m on p.g = m.g and p.i = m.i),
+    r as (select g, d, case when n * sxx > sx * sx and n * syy > sy * sy then (n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)) end as r from (select g, d, {sums} from e group by 1, 2))
+    select g, max(r) filter (where d = 0) as estimate, quantile_cont(r, 0.025) filter (where d > 0) as low, quantile_cont(r, 0.975) filter (where d > 0) as high, stddev_pop(r) filter (where d > 0) as std,
+      count(r) filter (where d > 0) as draws, (select count(*) from m where m.g = r.g) as clusters from r group by 1)"""
+
+
+@query("estimate:f low:f high:f std:f draws:i clusters:i", f"{_BOTH} select * from {_bootstrap_sql('b', 'la', 'lp')}")
 def bootstrap_ci(spark, sf_dir):
-    """Random draws of our own; tests hold moments against resampled rows."""
     return econometrics.bootstrap_ci(_both(spark, sf_dir), "la", "lp", "post_code")
 
 
-@query("draw:i correlation:f")
+@query("year:i n:i estimate:f low:f high:f draws:i", f"{_BOTH} select g as year, n, estimate, low, high, draws from {_bootstrap_sql('b', 'la', 'lp', 60, 'year(contract_date)')} join (select year(contract_date) as g, count(*) as n from b group by 1 having count(*) >= 500) using (g)")
+def area_price_by_year(spark, sf_dir):
+    return hypotheses.yearly_intervals(_both(spark, sf_dir).withColumn("year", _year()), "la", "lp", "post_code")
+
+
+_PRIME = 2**31 - 1
+_PLACEBO_SQL = f"""{_BOTH}, s as (select count(*) as n, avg(la) as ma, avg(lp) as mp, var_pop(la) as va, var_pop(lp) as vp, covar_pop(la, lp) as c from b),
+  o as (select la - ma as a, lp - mp as p, ('0x' || substr(md5('17:' || sale_id), 1, 12))::bigint % greatest(1, n // 50000) as block, ('0x' || substr(md5('17:o:' || sale_id), 1, 12))::bigint as o, cast(sale_id as varchar) as k from b cross join s),
+  r as (select a, p, block, row_number() over (partition by block order by o, k) as r from o),
+  h0 as (select d, block, p, r, (r * 48271 + d * 69621) % {_PRIME} as h from r cross join range(1, 201) t(d)),
+  h1 as (select d, block, p, r, (xor(h, h >> 13) * 1103515245) % {_PRIME} as h from h0),
+  h2 as (select d, block, p, r, (xor(h, h >> 16) * 1566083941) % {_PRIME} as h from h1),
+  q as (select d, block, p, row_number() over (partition by d, block order by h, r) as r from h2),
+  c as (select 0 as draw, c from s union all select q.d, sum(r.a * q.p) / max(n) from q join r on q.block = r.block and q.r = r.r cross join s group by 1)
+  select draw, (c.c - va) / sqrt(va * (vp + va - 2 * c.c)) as correlation from c cross join s"""
+
+
+@query("draw:i correlation:f", _PLACEBO_SQL)
 def permutation_placebo(spark, sf_dir):
-    """Random draws of our own; a few draws show the placebo."""
-    return econometrics.ratio_placebo(_both(spark, sf_dir), "la", "lp", "sale_id", draws=5)
+    return econometrics.ratio_placebo(_both(spark, sf_dir), "la", "lp", "sale_id")
 
 
 @query("draw:i post_mean:f pretrend_p:f")
@@ -741,7 +777,8 @@ _SPEC = encoders.FeatureSpec(numeric=("area_sqm", "pc_median_price_12m", "year_n
 
 def _cv(spark, sf_dir: str, name: str, **sizes) -> DataFrame:
     """Scores by fold of a learner over features of a whole run."""
-    return pipelines.cross_validate(pipelines.build_features(sales(spark, sf_dir)).persist(), _SPEC, _FOLDS, [name], **sizes).by_fold
+    features = pipelines.build_features(sales(spark, sf_dir)).persist()
+    return pipelines.cross_validate(features, _SPEC, splits.folds_of(features, **_SHAPE), [name], **sizes).by_fold
 
 
 @query("fold:i n:i rmsle:f r2:f mdape:f")
@@ -799,10 +836,13 @@ def time_reversed_placebo(spark, sf_dir):
     return hypotheses.time_reversed(panel.rolling_features(_spine(spark, sf_dir), windows=(3,)))
 
 
-@query("statistic:s estimate:f low:f high:f draws:i clusters:i")
+_RANKED = "(select post_code, rank() over (order by area_sqm) + (count(*) over (partition by area_sqm) - 1) / 2.0 as rx, rank() over (order by purchase_price) + (count(*) over (partition by purchase_price) - 1) / 2.0 as ry from b)"
+
+
+@query("statistic:s estimate:f low:f high:f draws:i clusters:i", f"""{_BOTH} select 'pearson' as statistic, * from {_bootstrap_sql('b', 'area_sqm', 'purchase_price')} union all
+  select 'spearman', * from {_bootstrap_sql(_RANKED, 'rx', 'ry')} union all select 'log_pearson', * from {_bootstrap_sql('b', 'la', 'lp')}""")
 def area_price_headline(spark, sf_dir):
-    """Random draws of our own."""
-    return hypotheses.area_price(sales(spark, sf_dir), draws=50).headline
+    return hypotheses.area_price(sales(spark, sf_dir)).headline
 
 
 @query("specification:s term:s coef:f se:f n:i")
@@ -816,17 +856,16 @@ def elasticity_robustness(spark, sf_dir):
     return out
 
 
-@query("draw:i correlation:f")
+@query("draw:i correlation:f", _PLACEBO_SQL)
 def unit_price_placebo(spark, sf_dir):
-    """Random draws of our own."""
-    return hypotheses.unit_price(sales(spark, sf_dir), "sale_id", draws=2).placebo
+    return hypotheses.unit_price(sales(spark, sf_dir), "sale_id").placebo
 
 
 @query("name:s passed:b violations:i")
 def run_consistency(spark, sf_dir):
     """Tables of a run of two baselines agree with each other; driver-side comparison of a few counts."""
     features = pipelines.build_features(sales(spark, sf_dir)).persist()
-    runs = pipelines.cross_validate(features, _SPEC, _FOLDS, ["naive", "global"])
+    runs = pipelines.cross_validate(features, _SPEC, splits.folds_of(features, **_SHAPE), ["naive", "global"])
     held = pipelines.evaluate_holdout(features, _SPEC, ["naive", "global"])
     out = pipelines.consistency(runs.predictions, runs.by_fold, runs.pooled, held.pooled)
     features.unpersist()
