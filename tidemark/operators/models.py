@@ -87,12 +87,15 @@ def random_forest(train: DataFrame, names: list[str], target: str, trees: int =
     return lambda df: model.transform(_vectors(df, names)).drop("_features"), dict(zip(names, model.featureImportances.toArray().tolist(), strict=True))
 
 
-def gradient_boosting(train: DataFrame, names: list[str], target: str, day: str, key: str, rounds: int = 600, rate: float = 0.05, depth: int = 8, tail: float = 0.1, seed: int = 17):
-    """Boosted trees, stopped early on the last tenth of the training rows in the order of date and key."""
+def gradient_boosting(train: DataFrame, names: list[str], target: str, day: str, key: str, rounds: int = 600, rate: float = 0.05, depth: int = 8, tail: float | None = 0.1, leaf: int = 1, seed: int = 17):
+    """Boosted trees, stopped early on the last tenth of the training rows in the order of date and key; never, without a tail."""
     from pyspark.ml.regression import GBTRegressor
 
-    marked = train.withColumn("_stop", early_stop_tail(train, day, tail, key))
-    model = GBTRegressor(featuresCol="_features", labelCol=target, maxIter=rounds, stepSize=rate, maxDepth=depth, validationIndicatorCol="_stop", seed=seed).fit(_vectors(marked, names))
+    learner = GBTRegressor(featuresCol="_features", labelCol=target, maxIter=rounds, stepSize=rate, maxDepth=depth, minInstancesPerNode=leaf, seed=seed)
+    if tail:
+        train = train.withColumn("_stop", F.coalesce(early_stop_tail(train, day, tail, key), F.lit(False)))
+        learner.setValidationIndicatorCol("_stop")
+    model = learner.fit(_vectors(train, names))
     return lambda df: model.transform(_vectors(df, names)).drop("_features"), dict(zip(names, model.featureImportances.toArray().tolist(), strict=True))
 
 

@@ -26,7 +26,7 @@ def geometry_features(df: DataFrame, area: str = "area_sqm", distance: str = "di
 def build_features(clean: DataFrame, macro: MacroPanel | None = None, required: tuple[str, ...] = ("purchase_price", "area_sqm", "contract_date", "post_code"), zoning: str | None = "zoning", min_count: int = 500) -> DataFrame:
     """Clean sales with macro series as of their day, calendar, geometry, the target, lagged panel features of their place
     and the same month's aggregates under ``contemporaneous_``."""
-    df = attach_macro(clean, macro.cash, macro.cpi) if macro else clean
+    df = attach_macro(clean, macro.cash, macro.cpi).withColumns({"cash_rate_asof": F.col("cash_rate"), "cpi_yoy_asof": F.col("cpi_yoy")}) if macro else clean
     df = geometry_features(df.withColumns(calendar_features(F.col("contract_date")))).withColumn("log_price", safe_log10(F.col("purchase_price")))
     df = panel.attach_panel(df, panel.rolling_features(panel.complete_spine(panel.build_panel(clean))))
     if zoning and zoning in df.columns:
@@ -101,9 +101,10 @@ def fold_table(scores: DataFrame, names: list[str], metric: str = "rmsle") -> Da
     return scores.groupBy("fold").pivot("model", names).agg(F.first(metric))
 
 
-def consistency(predictions: DataFrame, by_fold: DataFrame, pooled: DataFrame, holdout: DataFrame | None = None) -> DataFrame:
+def consistency(predictions: DataFrame, by_fold: DataFrame, pooled: DataFrame, holdout: DataFrame | None = None, grouped: DataFrame | None = None, recorded_rows: int | None = None, features: DataFrame | None = None) -> DataFrame:
     """(name, passed, violations) between tables of one run: grouped counts add up to the predictions, every model has the
-    same folds, and pooled and holdout tables have the same models."""
+    same folds, and pooled and holdout tables have the same models. ``grouped(kind, n)`` are diagnostics of the best
+    model, each kind of which has each of its predictions once; ``recorded_rows`` are those that a run says it read."""
     spark = predictions.sparkSession
     n = {r["model"]: r["n"] for r in predictions.groupBy("model").agg(F.count("*").alias("n")).collect()}
     folds = {r["model"]: (r["n"], r["k"]) for r in by_fold.groupBy("model").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect()}
@@ -115,4 +116,10 @@ def consistency(predictions: DataFrame, by_fold: DataFrame, pooled: DataFrame, h
     ]
     if holdout is not None:
         checks.append(("holdout_models", len(names ^ {r["model"] for r in holdout.select("model").distinct().collect()})))
+    if grouped is not None:
+        best = pooled.orderBy("rmsle", "model").first()
+        kinds = grouped.groupBy("kind").agg(F.sum("n").alias("n")).collect()
+        checks.append(("grouped_counts_add_up", sum(r["n"] != n.get(best["model"], 0) for r in kinds) if best else 0))
+    if recorded_rows is not None and features is not None:
+        checks.append(("recorded_rows", int(features.count() != recorded_rows)))
     return spark.createDataFrame([(k, v == 0, int(v)) for k, v in checks], "name string, passed boolean, violations long")
