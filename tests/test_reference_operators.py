@@ -504,5 +504,5 @@ def test_sources(spark, tmp_path):
     assert tables.clean(spark, str(tmp_path / "p")).count() == df.count()
     assert "| 2000 |" in tables.md_table(df.orderBy("post_code").select("post_code", "purchase_price"), 1)
     assert tables.capped_sample(df, "group_key", 10).count() == 10
-    every = tables.systematic_sample(df, ["contract_date", "group_key"], 5).count()
+    every = tables.systematic_sample(df, "contract_date", "group_key", 5).count()
     assert df.count() / 5 <= every <= df.count() / 5 + 24

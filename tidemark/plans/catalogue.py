@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as s
 from ..operators import cleaning, describe, econometrics, encoders, fences, geo, hypotheses, keys, metrics, models, panel, splits, temporal
 from ..sources import tables
-from . import pipelines
+from . import experiments, pipelines
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -702,6 +702,31 @@ def balanced_panel(spark, sf_dir):
 # rows only: solved on the driver from aggregated moments, resampled with our own draws, or learned
 
 
+_ONE_WAY = """d as (select unit, cast(x as double) - avg(x) over (partition by unit) as x, cast(y as double) - avg(y) over (partition by unit) as y from w),
+  f as (select sum(x * y) / sum(x * x) as coef, sum(x * x) as sxx, count(*) as n from d), c as (select unit, sum(x * (y - coef * x)) as s from d cross join f group by 1),
+  g as (select count(*) as clusters, sum(s * s) as meat from c)
+  select '{term}' as term, coef, sqrt(meat * clusters / (clusters - 1)) / sxx as se, n, clusters from f cross join g"""
+
+
+@query("term:s coef:f se:f n:i clusters:i", f"{_BOTH}, w as (select post_code as unit, la as x, lp as y from b), {_ONE_WAY.format(term='la')}")
+def place_regression(spark, sf_dir):
+    """One absorbed factor: a closed form, with clustered errors."""
+    return econometrics.fe_regression(_both(spark, sf_dir), "lp", ["la"], "post_code", None, "post_code").frame(spark)
+
+
+@query("term:s coef:f se:f n:i clusters:i", f"""{_EVENT_PANEL}, w as (select e.post_code as unit, case when event_time >= 0 then ln(1 + distance) else 0 end as x, log10(median_price) as y from ep e join assigned a on e.post_code = a.post_code where distance <= 10), {_ONE_WAY.format(term='dose')}""")
+def dose_without_months(spark, sf_dir):
+    """All months as one: a closed form."""
+    log = _event_panel(spark, sf_dir).withColumns({"log_price": s.safe_log10(F.col("median_price")), "one": F.lit(1)})
+    return econometrics.dose_response(log, "log_price", _assigned(spark, sf_dir).select("post_code", "distance"), month="one").frame(spark)
+
+
+@query("coef:f intercept:f", f"{_BOTH} select covar_pop(la, lp) * count(*) / (var_pop(la) * count(*) + 1) as coef, avg(lp) - avg(la) * covar_pop(la, lp) * count(*) / (var_pop(la) * count(*) + 1) as intercept from b")
+def ridge_of_one(spark, sf_dir):
+    fit = models.ridge(_both(spark, sf_dir), ["la"], "lp")
+    return spark.createDataFrame([(float(fit.coef[0]), fit.intercept)], "coef double, intercept double")
+
+
 @query("term:s coef:f se:f ci_low:f ci_high:f p_value:f n:i clusters:i")
 def fe_regression(spark, sf_dir):
     """Two absorbed factors have no closed SQL form; tests hold it against dense least squares."""
@@ -870,3 +895,81 @@ def run_consistency(spark, sf_dir):
     out = pipelines.consistency(runs.predictions, runs.by_fold, runs.pooled, held.pooled)
     features.unpersist()
     return out
+
+
+# parts of runs
+
+
+@query("model:s n:i rmsle:f mae_log10:f r2:f mdape:f mape:f", f"{_NAIVE}, u as (select 'naive_postcode' as model, y, p from naive union all select 'naive_global', y, log10(greatest(m, 1)) from naive cross join med) select model, {_METRICS} from u group by 1")
+def compare_models(spark, sf_dir):
+    own = _naive(spark, sf_dir)
+    both = F.array(F.struct(F.lit("naive_postcode").alias("model"), F.col("y_pred_log10").alias("p")), F.struct(F.lit("naive_global").alias("model"), F.log10(F.lit(max(models.train_median(_train(spark, sf_dir)), 1.0))).alias("p")))
+    return metrics.compare_models(own.withColumn("_m", F.explode(both)).select("_m.model", "y_true_log10", F.col("_m.p").alias("y_pred_log10")))
+
+
+@query("post_code:i month:d pc_median_price_6m:f pc_n_sales_6m:i", f"""with {SALES}, {PANEL}, {SPINE} select post_code, month, case when count(median_price) over w >= 3 then quantile_cont(median_price, 0.5) over w end as pc_median_price_6m,
+  case when count(n_sales) over w >= 3 then sum(n_sales) over w end as pc_n_sales_6m from spine window w as (partition by post_code order by month rows between 6 preceding and 1 preceding)""")
+def rolling_half_windows(spark, sf_dir):
+    return panel.rolling_features(_spine(spark, sf_dir), windows=(6,), strict=False)
+
+
+@query("sale_id:i fwd:f", f"""with {SALES}, {PANEL}, {SPINE}, fw as (select post_code, month, case when count(median_price) over a = 3 then quantile_cont(median_price, 0.5) over a end as fwd
+  from spine window a as (partition by post_code order by month rows between 1 following and 3 following)) select sale_id, fwd from sales s left join fw on s.post_code = fw.post_code and date_trunc('month', contract_date) = fw.month""")
+def forward_attached(spark, sf_dir):
+    ahead = experiments.attach_forward(sales(spark, sf_dir), panel.forward_features(_spine(spark, sf_dir), windows=(3,)))
+    return ahead.withColumnRenamed("pc_median_price_3m__fwd", "fwd")
+
+
+@query("p_partkey:i fine:b", "select p_partkey, p_retailprice > 0 and (case when p_size % 5 = 0 then null else p_size - 10 end >= 0 or p_size % 5 = 0) as fine from part")
+def valid_rows(spark, sf_dir):
+    df = table(spark, sf_dir, "part").withColumn("dist", F.when(F.col("p_size") % 5 != 0, F.col("p_size") - 10))
+    return df.withColumn("fine", cleaning.valid_values(df.withColumn("p_retailprice", F.col("p_retailprice").cast("double")), ["p_retailprice"], ["dist", "absent"]))
+
+
+@query("c_nationkey:i lat:f lon:f c_name:s", f"{_NEAR} select c.c_nationkey, avg(lat) as lat, avg(lon) as lon, min_by(c_name, c.c_custkey) as c_name from c join customer using (c_custkey) group by 1")
+def centroid_table(spark, sf_dir):
+    k = F.col("c_custkey")
+    df = table(spark, sf_dir, "customer").withColumns({"lat": F.lit(-34.5) + F.lit(0.05) * (k % 37), "lon": F.lit(150.1) + F.lit(0.043) * (k % 41)})
+    return geo.centroids(df, "c_nationkey", label="c_name", order="c_custkey")
+
+
+@query("post_code:i treated_a:i treated_b:i agree:b", f"with {_LOOKUP}, t as (select post_code, treated as treated_a, case when centroid <= 2 then 1 when centroid > 3 and sa4 in ('AFRICA', 'ASIA', 'EUROPE', 'AMERICA') then 0 end as treated_b from assigned join lookup using (post_code)) select *, treated_a is not distinct from treated_b as agree from t")
+def definitions_compared(spark, sf_dir):
+    measured = _assigned(spark, sf_dir)
+    n = F.col("n_nationkey")
+    lookup = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(n.alias("post_code"), F.col("r_name").alias("sa4"), F.when(n % 7 == 6, None).otherwise(s.half_even(n * 0.37, 2)).alias("dist_metro_new"))
+    return geo.compare_definitions(measured, geo.assign_treatment(lookup, _EVENT))
+
+
+@query("fold:i train_start:d train_end:d valid_start:d valid_end:d embargo:i", """select k as fold, date '2001-01-01' as train_start, cast(date '2001-01-01' + to_months(cast(83 + 24 * k as int)) as date) as train_end, cast(date '2001-01-01' + to_months(cast(85 + 24 * k as int)) as date) as valid_start,
+  cast(date '2001-01-01' + to_months(cast(least(96 + 24 * k, 263) as int)) as date) as valid_end, 1 as embargo from range(0, 8) t(k)""")
+def fold_months(spark, sf_dir):
+    """The folds of 23 years by default."""
+    return splits.folds_frame(spark, splits.rolling_origin(date(2001, 1, 1), date(2023, 12, 1)))
+
+
+@query("fold:i train_start:d train_end:d valid_start:d valid_end:d", f"with {SALES}, {_FOLDS_SQL} select fold, greatest(train_start, cast(train_end - interval 29 month as date)) as train_start, train_end, valid_start, valid_end from folds")
+def sliding_folds(spark, sf_dir):
+    return splits.folds_frame(spark, splits.folds_of(sales(spark, sf_dir), mode="sliding", window=30, **_SHAPE))
+
+
+@query("sale_id:i", f"""with {SALES}, t as (select * from sales where contract_date <= date '1998-12-31'), c as (select contract_date, sum(count(*)) over (order by contract_date) as upto from t group by 1),
+  e as (select min(contract_date) as e from c where upto >= 0.9 * (select count(*) from t)) select sale_id from t, e where contract_date > e.e""")
+def stop_tail(spark, sf_dir):
+    train = _train(spark, sf_dir)
+    return train.where(models.early_stop_tail(train, "contract_date"))
+
+
+@query("sale_id:i", f"with {SALES}, r as (select sale_id, row_number() over (order by contract_date, sale_id) as r from sales) select sale_id from r where (r - 1) % 7 = 0")
+def sampled_rows(spark, sf_dir):
+    return tables.systematic_sample(sales(spark, sf_dir), "contract_date", "sale_id", 7)
+
+
+@query("o_orderkey:i x:f area:f parts:i head:s", """select o_orderkey, case when o_orderkey % 3 = 0 then null else o_totalprice end as x, o_totalprice * case o_orderkey % 4 when 0 then 10000 when 3 then null else 1 end as area,
+  len(list_filter([trim(o_orderstatus), '', trim(o_orderpriority)], lambda v: v <> '')) as parts, trim(o_orderstatus) as head from orders""")
+def scalar_texts(spark, sf_dir):
+    k = F.col("o_orderkey")
+    text = F.when(k % 3 == 0, F.lit("n/a")).otherwise(F.concat(F.lit(" "), F.col("o_totalprice").cast("string"), F.lit(" ")))
+    parts = s.split_list(F.concat_ws(" | ", "o_orderstatus", F.lit(" "), "o_orderpriority"))
+    unit = F.when(k % 4 == 0, " h").when(k % 4 == 3, "x").otherwise("M")
+    return table(spark, sf_dir, "orders").select("o_orderkey", s.number(text).alias("x"), s.area_sqm(F.col("o_totalprice").cast("double"), unit).alias("area"), F.size(parts).alias("parts"), parts[0].alias("head"))

@@ -55,17 +55,29 @@ def feature_sets(columns: list[str]) -> dict[str, FeatureSpec]:
     return {"full": full, "lean": lean, "nocal": without(lean, LAYERS["calendar"].numeric)}
 
 
-def rmsle(df: DataFrame, target: str, p: str = "prediction") -> float | None:
-    """Root mean squared error of natural logs; None without rows."""
-    got = df.agg(F.sqrt(F.avg((F.col(p) - F.col(target)) * (F.col(p) - F.col(target))))).first()[0]
-    return None if got is None else float(got) * math.log(10.0)
+def rmsles(df: DataFrame, side: str, target: str, p: str = "prediction") -> dict[str, float]:
+    """Per side the root mean squared error of natural logs: one aggregate."""
+    got = df.groupBy(side).agg(F.sqrt(F.avg((F.col(p) - F.col(target)) * (F.col(p) - F.col(target)))).alias("e")).collect()
+    return {r[side]: float(r["e"]) * math.log(10.0) for r in got if r["e"] is not None}
 
 
 def fit_and_score(train: DataFrame, sides: dict[str, DataFrame], spec: FeatureSpec, model: str, day: str = "contract_date", key: str = "sale_id", **sizes) -> dict[str, float | None]:
-    """One fit on ``train``, scored on each side."""
-    encoder = encoders.Encoder(spec).fit(train)
-    predict = learners(spec.target, day, key, **sizes)[models.select_models([model])[0]](encoder.transform(train), encoder.names)
-    return {name: rmsle(predict(encoder.transform(df)), spec.target) for name, df in sides.items()}
+    """One fit on ``train``, and the error on each side, None where it has no rows. A fit passes over its rows several times,
+    so they are kept, spilling to disk, unless they are already."""
+    own = not train.is_cached
+    train = train.persist() if own else train
+    try:
+        encoder = encoders.Encoder(spec).fit(train)
+        predict = learners(spec.target, day, key, **sizes)[models.select_models([model])[0]](encoder.transform(train), encoder.names)
+        every = None
+        for name, df in sides.items():
+            tagged = df.withColumn("_side", F.lit(name))
+            every = tagged if every is None else every.unionByName(tagged)
+        got = rmsles(predict(encoder.transform(every)), "_side", spec.target)
+    finally:
+        if own:
+            train.unpersist()
+    return {name: got.get(name) for name in sides}
 
 
 def _sides(train: DataFrame, model: str, day: str, key: str, sizes: dict) -> dict[str, DataFrame]:

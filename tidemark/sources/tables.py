@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,10 +98,13 @@ def event(table: DataFrame, event_id: str):
     return got[0]
 
 
-def systematic_sample(df: DataFrame, order: list[str], step: int) -> DataFrame:
-    """Every ``step``-th row of each month, in a total order. Months are ranked each on their own, so no task orders all."""
-    month = F.trunc(F.col(order[0]), "MM")
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(month).orderBy(*order))).where((F.col("_r") - 1) % step == 0).drop("_r")
+def systematic_sample(df: DataFrame, day: str, key: str, step: int) -> DataFrame:
+    """Every ``step``-th row in the order of day and ``key``, the first one included; rows without a day come last. Ranks are
+    counted over ranges of days, so no task orders all."""
+    from ..operators.metrics import with_rank
+
+    placed = df.withColumn("_day", F.coalesce(F.unix_date(F.col(day).cast("date")), F.lit(10_000_000)))
+    return with_rank(placed, "_day", key, "_r", "_all").where((F.col("_r") - 1) % step == 0).select(*df.columns)
 
 
 def capped_sample(df: DataFrame, key: str, most: int, seed: int = 17) -> DataFrame:
