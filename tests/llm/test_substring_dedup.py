@@ -84,3 +84,51 @@ def test_odd_rows(spark):
     assert by(8)[0].text is None and by(9)[0].text == ""
     assert by(11)[0].removed_spans >= 1 and by(11)[0].text.startswith(line)
     assert substring_dedup(df.limit(0)).count() == 0
+
+
+def plain_dedup(rows: list[tuple[int, str]], least: int) -> dict[int, str]:
+    """Chunks as texts in dictionaries, over all documents in the order of their ids."""
+    first, chunks = {}, {}
+    for i, text in sorted(rows):
+        raw, at, own = text.encode(), 0, []
+        for end in plain_cuts(raw):
+            own.append((at, end, raw[at:end]))
+            first.setdefault(raw[at:end], i)
+            at = end
+        chunks[i] = own
+    out = {}
+    for i, text in rows:
+        raw, seen, gone = text.encode(), set(), [False] * len(text.encode())
+        for a, b, chunk in chunks[i]:
+            if first[chunk] < i or chunk in seen:
+                gone[a:b] = [True] * (b - a)
+            seen.add(chunk)
+        kept, a = [], 0
+        while a < len(raw):
+            b = a
+            while b < len(raw) and gone[b] == gone[a]:
+                b += 1
+            piece = raw[a:b].decode()
+            if gone[a]:
+                # words that the run cuts at either end stay
+                head = 0 if a == 0 or raw[a - 1 : a].isspace() else next((k for k, c in enumerate(piece, 1) if c.isspace()), len(piece))
+                tail = len(piece) if b == len(raw) or raw[b : b + 1].isspace() else next((k for k in range(len(piece), head, -1) if piece[k - 1].isspace()), head)
+                middle = piece[head:tail]
+                piece = piece if len(middle.split()) < least else piece[:head] + piece[tail:]
+            kept.append(piece)
+            a = b
+        out[i] = "".join(kept)
+    return out
+
+
+def test_result_is_that_of_a_plain_walk(spark):
+    for seed in (1, 2, 3):
+        rng = random.Random(seed)
+        shared = [words(rng, rng.randint(5, 80)) for _ in range(12)]
+        rows = []
+        for i in range(60):
+            parts = [rng.choice(shared) if rng.random() < 0.5 else words(rng, rng.randint(1, 60)) for _ in range(rng.randint(1, 6))]
+            rows.append((i * 7, rng.choice([" ", "\n", ""]).join(parts)))
+        rows += [(1000, rows[3][1]), (1001, rows[3][1][5:])]
+        got = {r.doc_id: r.text for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 20).collect()}
+        assert got == plain_dedup(rows, 20)
